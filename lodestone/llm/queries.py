@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, stratified_shards, token_counts
+from . import bpe_codec, merkle_fingerprints, oracles, stratified_shards, token_counts
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op6_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -32,6 +36,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_stratified_interleave, op9_token_counts, op10_bpe_codec)
+    f.__name__: f for f in (op6_stratified_interleave, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_merkle_fingerprints": oracles.MERKLE}
