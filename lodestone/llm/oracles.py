@@ -39,3 +39,15 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint,
   CASE WHEN left(fa, 32) = left(fb, 32) THEN []::INTEGER[] ELSE list_transform(list_filter(range(len(pb)), lambda k: NOT list_contains(pa, pb[k + 1])), lambda k: k::INTEGER) END AS edited_paragraphs
 FROM lists
 """
+
+WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN keep IS NOT NULL AND p.page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keep IS NOT NULL AND p.page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+"""

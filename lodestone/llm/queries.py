@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, merkle_fingerprints, oracles, stratified_shards, token_counts
+from . import bpe_codec, language_id, merkle_fingerprints, oracles, stratified_shards, token_counts, warc_archive
 from .shared import table
 
 
@@ -17,11 +17,22 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_archive.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = stratified_shards.interleave(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -36,6 +47,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_stratified_interleave, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
+    f.__name__: f for f in (op4_warc_normalise, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
 }
-ORACLE_SQL: dict[str, str] = {"op8_merkle_fingerprints": oracles.MERKLE}
+ORACLE_SQL: dict[str, str] = {"op4_warc_normalise": oracles.WARC, "op8_merkle_fingerprints": oracles.MERKLE}
