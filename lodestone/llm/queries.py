@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, merkle_fingerprints, oracles, stratified_shards, token_counts, warc_archive
+from . import bpe_codec, language_id, merkle_fingerprints, oracles, stratified_shards, suffix_dedup, token_counts, warc_archive
 from .shared import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc_archive.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,6 +51,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_warc_normalise, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
+    f.__name__: f for f in (op2_suffix_dedup, op4_warc_normalise, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc_normalise": oracles.WARC, "op8_merkle_fingerprints": oracles.MERKLE}
