@@ -44,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import letters, mixed
 from .shared import written
 
 LENGTH = 400
@@ -51,16 +52,10 @@ GROUP = 512
 CHUNK = 1 << 20
 SORTED_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-@functools.lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
-
-
 @functools.lru_cache(maxsize=4)
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
     base = np.uint64(pow(int(BASE), -1, 1 << 64)) if inverse else BASE
@@ -76,15 +71,10 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """H[i] = sum of letter[j] * BASE**j over j < i, in 64 bits."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_letters()[raw] * powers(len(raw)), out=out[1:])
+    np.cumsum(letters()[raw] * powers(len(raw)), out=out[1:])
     return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i : i + width]) for each i, by running minima of blocks."""
     n, pad = len(x), -len(x) % width
