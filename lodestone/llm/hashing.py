@@ -30,10 +30,14 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
+#: As for search terms: every ASCII character that is no letter or digit.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(raw: bytes, gaps: np.ndarray = _SPACE) -> np.ndarray:
     """A hash of each word, of the bytes with A-Z lower-cased."""
     data = np.frombuffer(raw.lower(), np.uint8)
-    gap = np.concatenate([[True], _SPACE[data], [True]])
+    gap = np.concatenate([[True], gaps[data], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, merkle_fingerprints, ngram_join, oracles, stratified_shards, suffix_dedup, token_counts, warc_archive
+from . import bm25_search, bpe_codec, domain_mixing, language_id, merkle_fingerprints, ngram_join, oracles, stratified_shards, suffix_dedup, token_counts, warc_archive
 from .shared import table
 
 
@@ -17,10 +17,28 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25_search.top_k(docs, queries, k=10)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=400)
 
 
+#: Wanted parts of the tokens.
+SHARES = {"good": 0.88, "poor": 0.10, "toxic": 0.02}
+
+
+def op3_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = domain_mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixed = domain_mixing.mix(table(spark, sf_dir, "documents"), labels, SHARES)
+    places = F.array_sort(F.array(*[F.lit(d) for d in SHARES]))
+    posterior = [F.coalesce(F.element_at("posterior", F.array_position(places, d).cast("int")), F.lit(0.0)).alias(f"p_{d}") for d in SHARES]
+    return mixed.select("doc_id", "n_tokens", "domain", *posterior, "rate", "copies")
+
+
 def op4_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc_archive.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,6 +73,6 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op4_warc_normalise, op5_ngram_jaccard_join, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
+    f.__name__: f for f in (op1_bm25_top_k, op2_suffix_dedup, op3_domain_mixing, op4_warc_normalise, op5_ngram_jaccard_join, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc_normalise": oracles.WARC, "op8_merkle_fingerprints": oracles.MERKLE}
