@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import capture, comparison, governance, selection
+from .registry import ORACLE_SQL, QUERIES
+
+flagship = governance.top1_cohort_customers
+
+__all__ = ["ORACLE_SQL", "QUERIES", "capture", "comparison", "flagship", "governance", "selection"]
