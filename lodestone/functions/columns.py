@@ -81,7 +81,7 @@ def count_bucket(n: Column) -> Column:
 
 
 def bytes_label(n: Column) -> Column:
-    one = lambda unit, size: F.concat(F.format_number(n / size, "0.0"), F.lit(f" {unit}"))
+    one = lambda unit, size: F.format_string(f"%.1f {unit}", n.cast("double") / size)
     return F.when(n >= 1 << 30, one("GiB", 1 << 30)).when(n >= 1 << 20, one("MiB", 1 << 20)).when(n >= 1 << 10, one("KiB", 1 << 10)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
