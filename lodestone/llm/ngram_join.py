@@ -17,15 +17,17 @@ signature has the same count in both sets, one that both keep remains.
 
 Candidates. Signatures are packed per task and bucket and shuffled by bucket; the
 number of buckets grows with the data. Where a signature is shared, sizes and
-coarse histograms of the sets (their distance is at most that of the sets) rule
-out most pairs that cannot link.
-
-Verification, in rounds, each on exact sets: (1) every node against one node it
-shares a signature with; (2) of nodes that share a signature but are not yet
-connected, the closest pair of each two components; (3) all such pairs that are
-left. Members of one component need no more comparing, so a large group of near
-copies costs a number of comparisons in proportion to its size, and no link is
-lost. Components are found by joins.
+parity sketches of the sets rule out most pairs that cannot link: a sketch has a
+bit for each cell of the feature domain, the parity of the set's features in it,
+so two sketches differ in at most as many bits as the sets in features.
+
+Verification, in rounds, each on exact sets: (1) every node against the closest,
+by sketch, of the first nodes of its groups; (2) twice, every node against the
+closest node of another component that it shares a signature with and was not
+held against; (3) all pairs of unconnected nodes that share a signature and are
+left by sketches of ``FINE`` times the size. Members of one component need no
+more comparing, so a large group of near copies costs comparisons in proportion
+to its size, and no link is lost. Components are found by joins.
 
 A node is named by a 64-bit hash of its set.
 
@@ -56,7 +58,9 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 48 << 20
 SPARE = 0.1
 FEW = 2
-HISTOGRAM = 128
+FINE = 8
+CLOSEST_ROUNDS = 2
+HELD_BYTES = 64 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -76,12 +80,11 @@ def bands(percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     return tops, distance_bound(tops, tops, percent)
 
 
-def histogram(features: np.ndarray) -> bytes:
-    """Counts of the features in a power of two of cells, at most 255 each."""
-    cells = HISTOGRAM
-    while cells > 16 and cells * 5 > len(features):
-        cells >>= 1
-    return np.minimum(np.bincount((features >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells), 255).astype(np.uint8).tobytes()
+def parities(features: np.ndarray, times: int = 1) -> bytes:
+    """The parity of the number of features in each cell; ``times`` cells a feature and up, a power of two."""
+    cells = max(64, 1 << (len(features) * times - 1).bit_length())
+    odd = np.bincount((features >> np.uint64(30)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _small(features: np.ndarray, band: int, k: int) -> np.ndarray:
@@ -166,7 +169,7 @@ def _sign(buckets: int, percent: int):
     def packed(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         nodes = np.array(list(sets), np.int64)
         arrays = list(sets.values())
-        sizes, shapes = np.array([len(s) for s in arrays], np.int64), [histogram(s) for s in arrays]
+        sizes, shapes = np.array([len(s) for s in arrays], np.int64), [parities(s) for s in arrays]
         sigs, whose = signatures(arrays, percent)
         bucket = ((sigs >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         order = np.lexsort((whose, bucket))
@@ -202,37 +205,40 @@ def _sign(buckets: int, percent: int):
 
 
 _SIGNED = "bucket int, nodes binary, sizes binary, shapes array<binary>, counts binary, high binary, low binary"
-_GROUPS = "bucket int, part long, nodes binary, sizes binary, shapes array<binary>, members binary, ends binary, near binary"
+_GROUPS = "bucket int, part long, nodes binary, sizes binary, shapes array<binary>, members binary, ends binary, near binary, how_near binary"
 
 
-def folded(shape: np.ndarray, cells: int) -> np.ndarray:
-    return shape if len(shape) == cells else shape.reshape(-1, cells).sum(axis=0)
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    return sketch if len(sketch) == words else np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-class Shapes:
-    """Sizes and histograms of the nodes of a bucket, by number of cells."""
+class Sketches:
+    """Sizes and sketches of some nodes, by length of sketch."""
 
-    def __init__(self, sizes: np.ndarray, shapes: list[bytes], percent: int):
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes], percent: int):
         self.sizes, self.percent = sizes, percent
-        self.cells = np.array([len(s) for s in shapes])
-        self.at = np.zeros(len(shapes), np.int64)
-        self.tables: dict[int, np.ndarray] = {}
-        for cells in set(self.cells.tolist()):
-            who = np.flatnonzero(self.cells >= cells)
-            table = np.zeros((len(shapes), cells), np.int16)
-            for i in who:
-                table[i] = folded(np.frombuffer(shapes[i], np.uint8).astype(np.int16), cells)
-            self.tables[cells] = table
+        self.words = np.array([len(s) // 8 for s in sketches], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for words in set(self.words.tolist()):
+            # Those of this length, and longer ones folded, as far as their sizes can meet.
+            who = np.flatnonzero((self.words == words) | (self.words == 2 * words))
+            place = np.full(len(sketches), -1)
+            place[who] = np.arange(len(who))
+            self.tables[words] = place, np.stack([folded(np.frombuffer(sketches[i], np.uint64), words) for i in who])
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """At most the number of features in which the sets differ; -1 for pairs that cannot link."""
         out = np.full(len(a), -1, np.int64)
         bound = distance_bound(self.sizes[a], self.sizes[b], self.percent)
         fits = np.abs(self.sizes[a] - self.sizes[b]) <= bound
-        cells = np.minimum(self.cells[a], self.cells[b])
-        for c in set(cells[fits].tolist()):
-            for some in np.array_split(np.flatnonzero(fits & (cells == c)), max(1, len(a) >> 18)):
-                d = np.abs(self.tables[c][a[some]] - self.tables[c][b[some]]).sum(axis=1)
+        words = np.minimum(self.words[a], self.words[b])
+        for w in set(words[fits].tolist()):
+            place, table = self.tables[w]
+            pairs = np.flatnonzero(fits & (words == w))
+            step = max(1, HELD_BYTES // (8 * w))
+            for k in range(0, len(pairs), step):
+                some = pairs[k : k + step]
+                d = np.bitwise_count(table[place[a[some]]] ^ table[place[b[some]]]).sum(axis=1, dtype=np.int64)
                 out[some] = np.where(d <= bound[some], d, -1)
         return out
 
@@ -270,33 +276,30 @@ def _group(percent: int):
         kept = first[present]
         own_sizes, shapes = all_sizes[kept], [flat[i] for i in kept]
         ends = np.cumsum(sizes[one])
-        # For each node the smallest node before it that shares a group and may link.
-        near = np.full(len(present), -1, np.int64)
+        # For each node the closest of the first nodes of its groups.
+        near, how_near = np.full(len(present), -1, np.int64), np.zeros(len(present), np.int64)
         if len(one):
             leader = np.repeat(local[ends - sizes[one]], sizes[one])
-            near_pairs = np.unique(np.stack([local, leader]), axis=1)
-            near_pairs = near_pairs[:, near_pairs[0] != near_pairs[1]]
-            may = Shapes(own_sizes, shapes, percent).distance(near_pairs[0], near_pairs[1]) >= 0
-            a, b = near_pairs[:, may]
-            near[a[::-1]] = b[::-1]
+            pairs = np.unique(local * len(present) + leader)
+            a, b = pairs // len(present), pairs % len(present)
+            d = np.where(a == b, -1, Sketches(own_sizes, shapes, percent).distance(a, b))
+            order = np.lexsort((b, d))[::-1]
+            order = order[d[order] >= 0]
+            near[a[order]], how_near[a[order]] = b[order], d[order]
         return pa.Table.from_pydict(
-            {"bucket": [table.column("bucket")[0].as_py()], "part": [0], "nodes": [unique[present].tobytes()], "sizes": [own_sizes.tobytes()], "shapes": [shapes], "members": [local.astype(np.int32).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "near": [near.tobytes()]},
-            schema=pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("shapes", pa.list_(pa.binary())), ("members", pa.binary()), ("ends", pa.binary()), ("near", pa.binary())]),
+            {"bucket": [table.column("bucket")[0].as_py()], "part": [0], "nodes": [unique[present].tobytes()], "sizes": [own_sizes.tobytes()], "shapes": [shapes], "members": [local.astype(np.int32).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "near": [near.tobytes()], "how_near": [how_near.tobytes()]},
+            schema=pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("shapes", pa.list_(pa.binary())), ("members", pa.binary()), ("ends", pa.binary()), ("near", pa.binary()), ("how_near", pa.binary())]),
         )
 
     return run
 
 
-def _pairs(out: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
-
-
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for nodes, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            nodes, near = np.frombuffer(nodes, np.int64), np.frombuffer(near, np.int64)
+        for nodes, near, how in zip(*(c.to_pylist() for c in batch.columns)):
+            nodes, near, how = np.frombuffer(nodes, np.int64), np.frombuffer(near, np.int64), np.frombuffer(how, np.int64)
             has = np.flatnonzero(near >= 0)
-            yield _pairs(np.stack([nodes[has], nodes[near[has]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[near[has]]), pa.array(how[has])], ["a", "b", "d"])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,54 +309,113 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), bucket, np.int32)), pa.array(nodes)], ["bucket", "node"])
 
 
-def _cross_pairs(percent: int, closest: bool, held: int = 1 << 20):
-    """Groups with their nodes' components in; pairs of unconnected nodes that may link out."""
+class Groups:
+    """The groups of a bucket, with what is known of its nodes by now."""
+
+    def __init__(self, row: dict, percent: int):
+        self.nodes, members, ends, sizes = (np.frombuffer(row[n], t) for n, t in (("nodes", np.int64), ("members", np.int32), ("ends", np.int64), ("sizes", np.int64)))
+        self.coarse = Sketches(sizes, row["shapes"], percent)
+        known = {n["node"]: n for n in row["known"] or []}
+        self.known = [known.get(n) for n in self.nodes.tolist()]
+        self.label = np.array([k["root"] if k else n for k, n in zip(self.known, self.nodes.tolist())], np.int64)
+        self.members, self.starts, self.ends = members, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+    def cross_pairs(self, wanted: np.ndarray | None = None, held: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, sketch distance) of pairs of a group in different components that may link."""
+        if not len(self.ends):
+            return
+        tagged = self.label[self.members]
+        several = np.flatnonzero(np.maximum.reduceat(tagged, self.starts) != np.minimum.reduceat(tagged, self.starts))
+        waiting: list[np.ndarray] = []
+        size = 0
+        for g in several:
+            who = self.members[self.starts[g] : self.ends[g]]
+            if wanted is not None:
+                who = who[wanted[who]]
+            who = who[np.argsort(self.label[who], kind="stable")]
+            # Each node against the nodes of later components.
+            later = np.searchsorted(self.label[who], self.label[who], side="right")
+            step = max(1, held // max(len(who), 1))
+            for at in range(0, len(who), step):
+                left = np.arange(at, min(at + step, len(who)))
+                n = len(who) - later[left]
+                a = np.repeat(left, n)
+                b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + later[a]
+                waiting.append(who[a].astype(np.int64) * len(self.nodes) + who[b])
+                size += len(a)
+                if size >= held:
+                    yield from self._fitting(waiting)
+                    waiting, size = [], 0
+        if size:
+            yield from self._fitting(waiting)
+
+    def _fitting(self, waiting: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        pairs = np.unique(np.concatenate(waiting))
+        a, b = pairs // len(self.nodes), pairs % len(self.nodes)
+        d = self.coarse.distance(a, b)
+        ok = d >= 0
+        if ok.any():
+            yield a[ok], b[ok], d[ok]
+
+
+def _each(percent: int, make):
+    """make(groups) -> record batches, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                nodes, members, ends = (np.frombuffer(row[n], t) for n, t in (("nodes", np.int64), ("members", np.int32), ("ends", np.int64)))
-                shapes = Shapes(np.frombuffer(row["sizes"], np.int64), row["shapes"], percent)
-                known = dict(zip(row["label_nodes"] or [], row["label_roots"] or []))
-                label = np.array([known.get(n, n) for n in nodes.tolist()], np.int64)
-                tagged = label[members]
-                starts = np.concatenate([[0], ends[:-1]])
-                mixed_up = np.flatnonzero(np.maximum.reduceat(tagged, starts) != np.minimum.reduceat(tagged, starts)) if len(ends) else []
-                found, size = [], 0
-                for g in mixed_up:
-                    who = members[starts[g] : ends[g]]
-                    who = who[np.argsort(label[who], kind="stable")]
-                    # Each node against the nodes of later components only.
-                    later = np.searchsorted(label[who], label[who], side="right")
-                    step = max(1, held // len(who))
-                    for at in range(0, len(who), step):
-                        left = np.arange(at, min(at + step, len(who)))
-                        n = len(who) - later[left]
-                        if not n.sum():
-                            continue
-                        a = np.repeat(left, n)
-                        b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + later[a]
-                        a, b = who[a], who[b]
-                        d = shapes.distance(a, b)
-                        ok = d >= 0
-                        a, b, d = a[ok], b[ok], d[ok]
-                        if closest and len(a):
-                            order = np.lexsort((d, label[b], label[a]))
-                            a, b = a[order], b[order]
-                            first = np.concatenate([[True], (label[a][1:] != label[a][:-1]) | (label[b][1:] != label[b][:-1])])
-                            a, b = a[first], b[first]
-                        found.append(np.stack([nodes[a], nodes[b]]))
-                        size += len(a)
-                        if size >= held:
-                            yield _pairs(np.unique(np.concatenate(found, axis=1), axis=1))
-                            found, size = [], 0
-                if size:
-                    yield _pairs(np.unique(np.concatenate(found, axis=1), axis=1))
+                yield from make(Groups({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}, percent))
 
     return run
 
 
+def _closest(groups: Groups) -> Iterator[pa.RecordBatch]:
+    """(a, b, d): for each node its closest node of another component that it was not held against."""
+    n = len(groups.nodes)
+    place = {x: i for i, x in enumerate(groups.nodes.tolist())}
+    tried = np.array([i * n + place[t] for i, k in enumerate(groups.known) for t in (k["tried"] or [] if k else []) if t in place], np.int64)
+    best, least = np.full(n, -1, np.int64), np.full(n, 1 << 40, np.int64)
+    for a, b, d in groups.cross_pairs():
+        fresh = ~np.isin(a * n + b, tried)
+        a, b, d = a[fresh], b[fresh], d[fresh]
+        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        order = np.lexsort((b, d))[::-1]
+        a, b, d = a[order], b[order], d[order]
+        now = np.full(n, 1 << 40, np.int64)
+        who = np.full(n, -1, np.int64)
+        now[a], who[a] = d, b
+        better = now < least
+        best[better], least[better] = who[better], now[better]
+    has = np.flatnonzero(best >= 0)
+    yield pa.RecordBatch.from_arrays([pa.array(groups.nodes[has]), pa.array(groups.nodes[best[has]]), pa.array(least[has])], ["a", "b", "d"])
+
+
+def _open(groups: Groups) -> Iterator[pa.RecordBatch]:
+    """The nodes that still may link with a node of another component."""
+    seen = np.zeros(len(groups.nodes), bool)
+    for a, b, _ in groups.cross_pairs():
+        seen[a] = seen[b] = True
+    yield pa.RecordBatch.from_arrays([pa.array(groups.nodes[seen])], ["node"])
+
+
+def _left(groups: Groups) -> Iterator[pa.RecordBatch]:
+    """(a, partners): all pairs of open nodes that the fine sketches leave, listed by one of them."""
+    wanted = np.array([k is not None and k["fine"] is not None for k in groups.known], bool)
+    fine = Sketches(groups.coarse.sizes, [k["fine"] if w else bytes(8) for k, w in zip(groups.known, wanted)], groups.coarse.percent) if wanted.any() else None
+    found: dict[int, set[int]] = {}
+    for a, b, _ in groups.cross_pairs(wanted) if fine else ():
+        ok = fine.distance(a, b) >= 0
+        for x, y in zip(groups.nodes[a[ok]].tolist(), groups.nodes[b[ok]].tolist()):
+            found.setdefault(max(x, y), set()).add(min(x, y))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([list(v) for v in found.values()], pa.list_(pa.int64()))], ["a", "partners"])
+
+
+def _with_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = [parities(shingles(t.as_py().encode("utf-8", "surrogatepass")), FINE) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fine, pa.binary())], ["node", "text", "fine"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -384,30 +446,47 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     signed = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_sign(buckets, percent), _SIGNED)
     groups = written(signed.groupBy("bucket").applyInArrow(_group(percent), _GROUPS), "signature-groups")
 
-    firsts = groups.select("nodes", "near").mapInArrow(_first_pairs, "a long, b long").groupBy("a").agg(F.min("b").alias("b"))
+    firsts = groups.select("nodes", "near", "how_near").mapInArrow(_first_pairs, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     placed = written(groups.select("bucket", "nodes").mapInArrow(_nodes, "bucket int, node long"), "group-nodes")
     active = placed.select("node").distinct()
     shown = profile.join(active, "node").groupBy("node").agg(F.min("row").alias("row"))
-    texts = written(rows.select("row", "text").join(shown, "row").select("node", "text").dropDuplicates(["node"]), "active-texts")
+    chosen = rows.select("row", "text").join(shown, "row").select("node", "text").dropDuplicates(["node"])
+    texts = written(chosen.mapInArrow(_with_fine, "node long, text string, fine binary"), "active-texts")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_verify(percent), "a long, b long"), name)
+        return written(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+
+    def told(known: DataFrame) -> DataFrame:
+        """The groups with what is known of their nodes: root, tried, fine."""
+        per = placed.join(known, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "tried", "fine")).alias("known"))
+        return groups.join(per, "bucket", "left").select("nodes", "sizes", "shapes", "members", "ends", "known")
 
-    links = verified(firsts, "links-first")
+    tried = written(firsts.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    links = verified(tried)
     roots = components(links)
-    tried = firsts
-    for closest in (True, False):
-        labels = placed.join(roots, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("_l"))
-        labelled = groups.join(labels, "bucket", "left").select("nodes", "sizes", "shapes", "members", "ends", F.col("_l.node").alias("label_nodes"), F.col("_l.root").alias("label_roots"))
-        pairs = written(labelled.mapInArrow(_cross_pairs(percent, closest), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
-        if not pairs.limit(1).count():
+    for _ in range(CLOSEST_ROUNDS):
+        both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))
+        known = roots.join(ways, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), "tried", F.lit(None).cast("binary").alias("fine"))
+        near = told(known).mapInArrow(_each(percent, _closest), "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+        pairs = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        fresh = verified(pairs)
+        tried = tried.unionAll(pairs)
+        if not fresh.limit(1).count():
             break
-        links = links.unionAll(verified(pairs, "links-more"))
+        links = links.unionAll(fresh)
+        roots = components(links)
+    bare = roots.select("node", "root", F.lit(None).cast("array<bigint>").alias("tried"), F.lit(None).cast("binary").alias("fine"))
+    still = written(told(bare).mapInArrow(_each(percent, _open), "node long").distinct(), "open-nodes")
+    known = still.join(texts.select("node", "fine"), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.lit(None).cast("array<bigint>").alias("tried"), "fine")
+    rest = told(known).mapInArrow(_each(percent, _left), "a long, partners array<bigint>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("p"))
+    rest = written(rest.select("a", F.explode("p").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        links = links.unionAll(verified(rest))
         roots = components(links)
-        tried = tried.unionAll(pairs)
 
     per_node = profile.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
     rooted = per_node.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
