@@ -36,8 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = ngram_join.similarity_classes(docs)
-    # The smallest row stands for its class; (doc_id, row) names it.
-    first = classes.groupBy("component_id", F.when(F.col("n_shingles") == 0, F.col("row")).alias("_alone")).agg(F.min(F.struct("doc_id", "row")).alias("_first"))
+    # The smallest row stands for its class; (doc_id, row) names it. Ids may be null or
+    # repeat, so the class goes by its root.
+    first = classes.groupBy("root", F.when(F.col("n_shingles") == 0, F.col("row")).alias("_alone")).agg(F.min(F.struct("doc_id", "row")).alias("_first"))
     kept = first.groupBy(F.col("_first.row").alias("_row")).agg(F.max(F.col("_alone").isNotNull()).alias("_solo"))
     rows = docs.withColumn("_row", F.xxhash64(F.lit(11), "doc_id", "text")).join(kept, "_row")
     # Of rows that are the same in id and text one stays, unless they have no words and so no group.

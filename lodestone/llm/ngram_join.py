@@ -433,9 +433,11 @@ def _verify(percent: int):
 
 
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, row, n_shingles, component_id.
+    """One row a document: doc_id, row, n_shingles, component_id, root.
 
     ``row`` is a hash of id and text, by which the rows of ``docs`` can be joined.
+    ``root`` names the component by a node of it, whatever the ids are: ids may be
+    null or repeat, so components can share a ``component_id``. Null for empty sets.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(key), F.col(text)).alias("row"))
@@ -491,6 +493,6 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     per_node = profile.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
     rooted = per_node.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     least = rooted.where("root IS NOT NULL").groupBy("_root").agg(F.min("_least").alias("_id"))
-    named = rooted.join(least, "_root", "left").where("_n > 1 OR root IS NOT NULL").select("node", F.coalesce("_id", "_least").alias("_component"))
+    named = rooted.join(least, "_root", "left").where("_n > 1 OR root IS NOT NULL").select("node", "_root", F.coalesce("_id", "_least").alias("_component"))
     out = spread_join(profile, written(named, "classes"), "node", "row")
-    return out.select("doc_id", "row", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_root", "node").alias("root"))

@@ -59,3 +59,15 @@ def test_stages(spark, sf, tmp_path, tokenizer_path):
 def test_the_run_is_the_stages(spark, sf):
     got = cp.run(spark, sf)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
+
+
+def test_unrelated_texts_stay_whatever_their_ids(spark, sf, words):
+    apart = [words(30) for _ in range(9)]
+    base = words(60)
+    rows = [(None, apart[0]), (None, apart[1]), (None, apart[2]), (None, None), (None, ""), (5, apart[3]), (5, apart[4]), (5, apart[5])]
+    # Linked texts, and unlinked ones with the ids of either.
+    rows += [(9, base), (12, base + " end"), (9, apart[6]), (12, apart[7]), (None, apart[8]), (None, apart[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.near_duplicates(spark, docs, sf).collect()
+    want = set(rows) - {(12, base + " end")}
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
