@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTITY = ["service", "type", "id"]
 # The categories of a change, in the order they are told.
@@ -17,32 +22,76 @@ def ordered_digest(key: Column, line: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), line.alias("v")))), lambda x: x["v"]), ""), 256)
 
 
+def streamed_digest(lines: DataFrame, group: list[str], order: str, line: str) -> DataFrame:
+    """(group..., digest, lines): sha256 over each group's lines in the order; null lines count, but add nothing.
+
+    A digest is sequential: rows are sorted within partitions by Spark, which
+    spills, and streamed in constant memory through one pass a group.
+    """
+    narrow = lines.select(*group, order, line)
+    spread = narrow.repartition(*group) if group else narrow.repartition(1)
+    k = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, n = None, None, 0
+        for batch in batches:
+            done = []
+            for *who, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if digest is None or who != current:
+                    if digest is not None:
+                        done.append((*current, digest.hexdigest(), n))
+                    current, digest, n = who, hashlib.sha256(), 0
+                n += 1
+                if text is not None:
+                    digest.update(text.encode("utf-8", "surrogatepass"))
+            if done:
+                yield told(done, batch)
+        if digest is not None:
+            yield told([(*current, digest.hexdigest(), n)], batch)
+
+    def told(done: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        types = [*(batch.schema.field(i).type for i in range(k)), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], [*group, "digest", "lines"])
+
+    schema = T.StructType([*narrow.schema.fields[:k], T.StructField("digest", T.StringType()), T.StructField("lines", T.LongType())])
+    return spread.sortWithinPartitions(*group, order, line).mapInArrow(run, schema)
+
+
 def pack_freshness(entries: DataFrame, group: list[str]) -> DataFrame:
     """Of (key, etag, size, metadata_digest) entries: kind, digest, records, bytes of each pack.
 
-    A pack holds at most 10 000 objects, which bounds what is gathered. Without a
-    metadata digest for every object nothing is proven.
+    Packs may be of any size. Without a metadata digest for every object nothing
+    is proven.
     """
     nul = F.lit("\x00")
     value = F.sha2(F.concat(F.coalesce("etag", F.lit("")), nul, F.col("size").cast("string"), nul, F.coalesce("metadata_digest", F.lit(""))), 256)
     line = F.concat(F.sha2(F.col("key").cast("binary"), 256), nul, value, F.lit("\n"))
+    digests = streamed_digest(entries.select(*group, F.col("key").alias("_key"), line.alias("_line")), group, "_key", "_line")
     proven = F.count_if(F.coalesce(F.col("metadata_digest"), F.lit("")) == "") == 0
-    return entries.groupBy(*group).agg(
-        F.when(proven, "inventory").otherwise("inventory_unproven").alias("kind"),
-        ordered_digest(F.col("key"), line).alias("digest"),
-        F.count("*").alias("records"),
-        F.sum("size").alias("bytes"),
-    )
+    sums = entries.groupBy(*group).agg(F.when(proven, "inventory").otherwise("inventory_unproven").alias("kind"), F.sum("size").alias("bytes"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group]
+    both = sums.alias("s").join(digests.alias("d"), same)
+    return both.select(*[F.col(f"s.{c}").alias(c) for c in group], "kind", "digest", F.col("lines").alias("records"), "bytes")
+
+
+def _inventory_line() -> Column:
+    return F.concat(F.to_json(F.struct(F.col("path").alias("path"), F.col("sha256").alias("sha256"), F.col("size").alias("size"))), F.lit("\n"))
 
 
 def bundle_identity(files: DataFrame) -> DataFrame:
-    """One digest over the (path, sha256, size) inventory in path order."""
-    item = F.to_json(F.struct(F.col("path").alias("path"), F.col("sha256").alias("sha256"), F.col("size").alias("size")))
-    bounded = files.limit(MOST_FILES + 1).agg(F.count("*").alias("n"), ordered_digest(F.col("path"), F.concat(item, F.lit("\n"))).alias("d"))
+    """One digest over the (path, sha256, size) inventory of a bundle in path order; fails above ``MOST_FILES``."""
+    bounded = files.limit(MOST_FILES + 1).agg(F.count("*").alias("n"), ordered_digest(F.col("path"), _inventory_line()).alias("d"))
     over = F.raise_error(F.lit(f"more than {MOST_FILES} files")).cast("string")
     return bounded.select(F.when(F.col("n") <= MOST_FILES, F.concat(F.lit("sha256:"), F.col("d"))).otherwise(over).alias("identity"), F.col("n").alias("files"))
 
 
+def inventory_identity(files: DataFrame) -> DataFrame:
+    """The digest of ``bundle_identity`` over an inventory of any size."""
+    one = streamed_digest(files.select("path", _inventory_line().alias("_line")), [], "path", "_line")
+    none = hashlib.sha256().hexdigest()
+    return one.agg(F.concat(F.lit("sha256:"), F.coalesce(F.max("digest"), F.lit(none))).alias("identity"), F.coalesce(F.sum("lines"), F.lit(0)).alias("files"))
+
+
 def optional_digest(text: Column) -> Column:
     """A digest of JSON text; none for null and for an empty list."""
     return F.when(text.isNull() | F.trim(text).isin("null", "[]"), F.lit("")).otherwise(F.sha2(text, 256))

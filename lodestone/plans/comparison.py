@@ -39,7 +39,7 @@ def agg8_pack_freshness(spark, sf_dir):
 )
 def agg8_bundle_identity(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.format_string("%012d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"))
-    return compare.bundle_identity(files)
+    return compare.inventory_identity(files)
 
 
 def _sides(spark, sf_dir):

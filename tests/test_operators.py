@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import columns as C
 from lodestone.operators import bounds, cohort, compare, govern, graph, ordering, packing, reuse, verify
-from lodestone.plans import governance
+from lodestone.plans import comparison, governance
 from lodestone.plans.policy import Admission, Cohort, PolicyError, Profile, Rule, duration, load_admission, load_profiles
 from lodestone.sources import readers, sinks
 from lodestone.streaming import capture as streaming
@@ -273,3 +273,31 @@ def test_a_capture_goes_on_only_under_its_definition(spark, tmp_path):
     with pytest.raises(ValueError, match="definition"):
         streaming.capture(spark, source, rows.schema, target, state, "b")
     assert streaming.definition("a", {"x": 1, "y": 2}) == streaming.definition("a", {"y": 2, "x": 1})
+
+
+def test_digests_of_groups_above_the_bundle_limit(spark):
+    n = compare.MOST_FILES + 1
+    files = spark.range(n).select(F.format_string("%012d", "id").alias("path"), F.lit("s").alias("sha256"), "id").withColumnRenamed("id", "size")
+    want = hashlib.sha256("".join(f'{{"path":"{k:012d}","sha256":"s","size":{k}}}\n' for k in range(n)).encode()).hexdigest()
+    assert compare.inventory_identity(files.repartition(5)).collect() == [("sha256:" + want, n)]
+    assert compare.inventory_identity(files.limit(0)).collect() == [("sha256:" + hashlib.sha256().hexdigest(), 0)]
+    with pytest.raises(Exception, match="more than"):
+        compare.bundle_identity(files).collect()
+
+
+def test_the_identity_query_has_no_limit(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(k, f"t{k}") for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(compare, "MOST_FILES", 10)
+    lines = "".join(f'{{"path":"{k:012d}","sha256":"{hashlib.sha256(f"t{k}".encode()).hexdigest()}","size":{len(f"t{k}")}}}\n' for k in range(40))
+    assert comparison.agg8_bundle_identity(spark, str(tmp_path)).collect() == [("sha256:" + hashlib.sha256(lines.encode()).hexdigest(), 40)]
+
+
+def test_packs_are_streamed_and_not_gathered(spark):
+    rows = [(p, f"k{k:04d}", "e", k, None if p is None and k == 7 else "m") for p in (1, 2, None) for k in range(300)]
+    found = compare.pack_freshness(spark.createDataFrame(rows, "pack long, key string, etag string, size long, metadata_digest string").repartition(3), ["pack"])
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    line = lambda k, m: f"{sha(f'k{k:04d}')}\x00{sha(f'e\x00{k}\x00{m}')}\n"
+    want = {p: sha("".join(line(k, "" if p is None and k == 7 else "m") for k in range(300))) for p in (1, 2, None)}
+    kind = lambda p: "inventory_unproven" if p is None else "inventory"
+    assert {r["pack"]: (r["kind"], r["digest"], r["records"], r["bytes"]) for r in found.collect()} == {p: (kind(p), d, 300, sum(range(300))) for p, d in want.items()}
+    assert "collect_list" not in found._jdf.queryExecution().toString()
