@@ -87,6 +87,7 @@ def pull(spark: SparkSession, registry: Registry, selected: dict[str, list[Optio
         "captured_at": (captured_at or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ"),
         "policy": profile.identity() if profile else "",
         "resources": resources,
+        "operations": [r.asDict() for r in made["operations"].orderBy("operation_id").collect()],
         "findings": [r.asDict() for r in made["findings"].collect()],
     }
     index = verify.checksums(spark, f"{staged}/data").where(~F.col("path").rlike(r"(^|/)[._]"))
@@ -103,6 +104,17 @@ def verify_bundle(spark: SparkSession, target: str) -> DataFrame:
     return verify.coverage(index, files)
 
 
+def _listed(spark: SparkSession, manifest: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
+    """The entries of a list of the manifest, whose fields are told; those it lacks are empty."""
+    kind = dict(manifest.dtypes).get(name, "")
+    schema = ", ".join(f"{out} string" for out in fields.values())
+    if not kind.startswith("array<struct"):  # absent, or empty in this manifest
+        return spark.createDataFrame([], schema)
+    entries = manifest.select(F.explode(name).alias("e"))
+    has = set(entries.select("e.*").columns)
+    return entries.select(*[(F.coalesce(F.col(f"e.{c}").cast("string"), F.lit("")) if c in has else F.lit("")).alias(out) for c, out in fields.items()])
+
+
 def inspect(spark: SparkSession, target: str) -> DataFrame:
     """The projection of a bundle: identity and digests of each resource, nothing of when or by what it was made."""
     found = readers.manifest(spark, f"{target}/manifest.json")
@@ -112,7 +124,9 @@ def inspect(spark: SparkSession, target: str) -> DataFrame:
     files = data.select(F.element_at(parts, 1).alias("service"), F.element_at(parts, 2).alias("id"), F.element_at(parts, 3).alias("part"), "sha256")
     datasets = files.groupBy("service", "id").agg(cmp.ordered_digest(F.substring("part", 1, 10), F.col("sha256")).alias("dataset_digest"))
     out = rows.select("r.service", "r.type", "r.id", F.sha2(F.array_join("r.shape", ","), 256).alias("structure_digest"), F.sha2("policy", 256).alias("governance_digest"), F.lit(True).alias("selected"), "r.records")
-    return out.join(datasets, ["service", "id"], "left")
+    operations = _listed(spark, found, "operations", {"service": "service", "id": "resource_id", "stage": "stage", "action": "action"})
+    findings = _listed(spark, found, "findings", {"code": "code", "severity": "severity", "resource": "resource", "property": "property"})
+    return cmp.grouped_to(out.join(datasets, ["service", "id"], "left"), operations, findings)
 
 
 def compare(spark: SparkSession, baseline: str, current: str) -> DataFrame:

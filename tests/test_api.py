@@ -94,3 +94,24 @@ def test_credentials_stop_a_pull(spark, tmp_path):
     with pytest.raises(ValueError, match="credentials_found"):
         api.pull(spark, adapters.Registry(source), {"tables": [adapters.Options("t", ("id",))]}, None, f"file:{tmp_path}/s", f"file:{tmp_path}/t", "000000000001")
     assert not (tmp_path / "t").exists()
+
+
+def test_operations_and_findings_are_compared(spark, source, tmp_path):
+    one = pulled(spark, source, tmp_path, "one")
+
+    class Warned(adapters.TableAdapter):
+        def validate(self, spark, options):
+            return [("SLOW", self.severity, options.resource)] if options.resource == "people" else []
+
+    def warned(severity, name):
+        other = Warned(source.folder, source.tables, source.links)
+        other.severity = severity
+        return pulled(spark, other, tmp_path, name)
+
+    told = lambda a, b: {r["id"]: (r["outcome"], r["categories"]) for r in api.compare(spark, a, b).collect()}
+    same = ("unchanged", [])
+    low = warned("warning", "low")
+    assert told(one, low) == {"people": ("changed", ["findings"]), "visits": same}
+    assert told(low, warned("error", "high")) == {"people": ("changed", ["findings"]), "visits": same}
+    unlinked = adapters.TableAdapter(source.folder, source.tables)
+    assert told(one, pulled(spark, unlinked, tmp_path, "unlinked")) == {"people": same, "visits": ("changed", ["operations"])}
