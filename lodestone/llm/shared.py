@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -59,12 +59,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, salt_by: str, how: str = "left", salts: int = 8) -> DataFrame:
+def row_name(key: Column, text: Column) -> Column:
+    """The 128-bit digest of a row's id and text, null told from empty."""
+    kept = F.coalesce(F.concat(F.lit("+"), text.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("~")), F.lit("|"), kept)))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: str | list[str], salt_by: str, how: str = "left", salts: int = 8) -> DataFrame:
     """Join ``facts`` (one row a key) to ``rows`` where a few keys hold most rows.
 
     Each fact is repeated once per salt, so a hot key is spread over ``salts``
     tasks; ``facts`` must be small against ``rows``.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

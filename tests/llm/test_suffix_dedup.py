@@ -46,19 +46,27 @@ def test_suffix_sort_is_a_sort():
     starts = np.arange(0, 2900)
     order, equal = sd.suffix_sort(data, starts, 90)
     raw = data.tobytes()
-    got = [raw[s : s + 90] for s in order]
+    got = [raw[s : s + 90] for s in starts[order].tolist()]
     assert got == sorted(got)
     assert equal.tolist() == [False] + [a == b for a, b in zip(got, got[1:])]
 
 
+def test_pieces_of_several_lengths_are_told_apart():
+    r = random.Random(5)
+    base = "".join(r.choice("ab") for _ in range(60)).encode()
+    pieces = [base[: r.randint(16, 60)] if r.random() < 0.5 else bytes(r.choice(b"ab") for _ in range(r.randint(16, 20))) for _ in range(400)]
+    cls = sd.equal_pieces(pieces).tolist()
+    assert len(set(cls)) == len(set(pieces)) == len(set(zip(cls, pieces)))
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 57).astype(np.uint64)
     assert sd.sliding_min(x, 9).tolist() == [min(x[k : k + 9]) for k in range(49)]
 
 
-def check(spark, texts, length, group=sd.GROUP):
+def check(spark, texts, length, **how):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r[0]: tuple(r)[1:] for r in sd.digests(docs, length=length).collect()}
+    got = {r[0]: tuple(r)[1:] for r in sd.digests(docs, length=length, **how).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts, length)
 
 
@@ -67,9 +75,15 @@ def test_against_all_windows(spark):
         check(spark, corpus(seed, length), length)
 
 
-def test_large_groups_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(sd.repeated_spans, "__defaults__", (60, 3))
-    check(spark, corpus(4, 60), 60)
+def test_groups_in_many_parts(spark):
+    check(spark, corpus(4, 60), 60, part=3)
+
+
+def test_different_runs_under_one_hash_are_told_apart(spark):
+    """With no bit, or few, of the hashes every verdict is left to the comparison of bytes."""
+    texts = corpus(6, 60)[:30]
+    for bits, part in ((0, 256), (2, 4)):
+        check(spark, texts, 60, bits=bits, part=part)
 
 
 def test_long_texts_are_chunked(spark, monkeypatch):
@@ -85,5 +99,16 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = sorted(map(tuple, sd.digests(docs).collect()), key=str)
     assert [g[:4] for g in got] == [(1, 1000, 1000, 1), (1, 1000, 1000, 1), (2, 0, 0, 0), (None, 0, 0, 0), (None, 1, 0, 0)]
     assert sd.digests(docs.limit(0)).count() == 0
-    kept = {(r["doc_id"], r["text"], r["n_bytes"]) for r in sd.deduplicated(docs).collect()}
-    assert kept == {(1, "", 5), (None, None, None), (None, "x", 1), (2, "", 2)}
+    for clash in ("n_bytes", "key", "_row", "others", "spans", "lo", "anchor"):
+        named = docs.withColumnRenamed("n_bytes", clash)
+        cut = sd.deduplicated(named)
+        assert cut.schema == named.schema
+        assert {(r["doc_id"], r["text"], r[clash]) for r in cut.collect()} == {(1, "", 5), (None, None, None), (None, "x", 1), (2, "", 2)}
+    assert sd.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_stretches_of_few_words_stay(spark):
+    few, many = "x" * 500, "word " * 100
+    docs = spark.createDataFrame([(k, f"{k} {few} {k} {many}{k}") for k in range(3)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in sd.deduplicated(docs, words=51).collect()}
+    assert all(few in t and "word word" not in t for t in got.values())
