@@ -8,54 +8,70 @@ the columns of documents.
    a margin) go. The dictionaries are learnt from the stage's own input.
 2. ``near_duplicates``: of each group of documents that 5-word shingles link at a
    similarity of 0.8 the one with the smallest doc_id stays (of equal ids, the
-   smallest text).
-3. ``repeated_passages``: 400-byte strings that also start elsewhere are cut out
-   of all texts; documents stay, shorter.
+   one with the smallest digest). Of rows equal in id and text one stays.
+   Documents without words link with nothing and all stay.
+3. ``repeated_passages``: passages of ``PASSAGE_WORDS`` words or more that also
+   stand elsewhere, in this document or another, are cut out wherever they stand,
+   the first place included; documents stay, shorter. They are found as strings
+   of ``PASSAGE_BYTES`` bytes; overlapping ones make one passage.
 4. ``mixing``: rates are fitted so that toxic tokens fall to a fiftieth and
    others stay; a document whose rate rounds to 0 goes, all others stay once.
 5. ``tokens``: byte-level BPE ids of what is left, and their round trip.
+
+Defined results: null and empty texts and texts without a letter go in the first
+stage, as no language can be told; later stages, given such texts, keep them as
+they are (``near_duplicates`` all of them, whatever their ids). Null ids never make
+rows one. Very long texts are judged whole in every stage. Ties go by the smaller
+id, then by the digest of id and text. Empty tables give empty tables. Other
+columns, whatever their names, are passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, domain_mixing, language_id, ngram_join, suffix_dedup
 from lodestone.llm.queries import tokenizer_file
-from lodestone.llm.shared import scratch_path
+from lodestone.llm.shared import row_name, scratch_path
 
 #: What each domain's tokens are multiplied by.
 CHANGES = {"toxic": 0.02}
+#: A repeated passage has this many words at least; it is found by strings of so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = language_id.identify(docs, language_id.learn(docs))
-    return told.where(~F.col("rejected")).select(*docs.columns)
+    # The docs travel as one column, so that none of theirs can clash with what is added.
+    kept = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    told = language_id.identify(kept, language_id.learn(docs))
+    return told.where(~F.col("rejected")).select("doc.*")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(row, doc): the digest of id and text, and all columns."""
+    return docs.select(row_name(F.col("doc_id"), F.col("text")).alias("row"), F.struct(*docs.columns).alias("doc"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.similarity_classes(docs)
-    # The smallest row stands for its class; (doc_id, row) names it. Ids may be null or
-    # repeat, so the class goes by its root.
-    first = classes.groupBy("root", F.when(F.col("n_shingles") == 0, F.col("row")).alias("_alone")).agg(F.min(F.struct("doc_id", "row")).alias("_first"))
-    kept = first.groupBy(F.col("_first.row").alias("_row")).agg(F.max(F.col("_alone").isNotNull()).alias("_solo"))
-    rows = docs.withColumn("_row", F.xxhash64(F.lit(11), "doc_id", "text")).join(kept, "_row")
-    # Of rows that are the same in id and text one stays, unless they have no words and so no group.
-    rows = rows.withColumn("_copy", F.when(F.col("_solo"), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["_row", "_copy"]).select(*docs.columns)
+    classes = ngram_join.similarity_classes(docs).where("n_shingles > 0")
+    # Ids may be null or repeat, so the class goes by its root.
+    kept = classes.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = _named(docs.where(worded)).join(kept, "row").dropDuplicates(["row"])
+    return one.select("doc.*").unionByName(docs.where(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    cut = suffix_dedup.deduplicated(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = domain_mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = domain_mixing.label_toxic(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     mixed = domain_mixing.mix(docs, labels, CHANGES, relative=True)
-    gone = mixed.where("rate < 0.5").select(F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64(F.lit(11), "doc_id", "text"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = mixed.where("rate < 0.5").select("row").distinct()
+    return _named(docs).join(gone, "row", "left_anti").select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
