@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import row_name, written
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def memberships(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (a hash of id and text), n_tokens, posterior array<double>."""
+    """doc_id, row (the digest of id and text), n_tokens, posterior array<double>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +121,8 @@ def memberships(docs: DataFrame, model: Classifier, key: str = "doc_id", text: s
                 ["doc_id", "row", "n_tokens", "posterior"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.lit(11), F.col(key), F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, n_tokens long, posterior array<double>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_name(F.col(key), F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row binary, n_tokens long, posterior array<double>")
 
 
 def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,11 +200,16 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], scale: flo
             best = [model.domains[i] for i in _matrix(batch, k)[1].argmax(axis=1)] if k and batch.num_rows else [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(rate)], [*batch.schema.names, "domain", "rate"])
 
-    rated = members.mapInArrow(run, "doc_id long, row long, n_tokens long, posterior array<double>, domain string, rate double")
-    return rated.withColumn("copies", hashed_copies(F.col("rate"), F.coalesce("doc_id", "row")))
+    rated = members.mapInArrow(run, "doc_id long, row binary, n_tokens long, posterior array<double>, domain string, rate double")
+    return rated.withColumn("copies", hashed_copies(F.col("rate"), F.coalesce("doc_id", F.xxhash64("row"))))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """The domain of each labelled document: toxic, good or poor."""
     kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
     return labels.select("doc_id", kind.alias("domain"))
+
+
+def label_toxic(labels: DataFrame) -> DataFrame:
+    """Whether each labelled document is toxic or clean."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain"))

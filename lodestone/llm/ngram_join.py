@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mixed, shingles
-from .shared import spread_join, written
+from .shared import row_name, spread_join, written
 
 PERCENT = 80
 CHUNK_BYTES = 8 << 20
@@ -435,13 +435,14 @@ def _verify(percent: int):
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, row, n_shingles, component_id, root.
 
-    ``row`` is a hash of id and text, by which the rows of ``docs`` can be joined.
+    ``row`` is the 128-bit digest of id and text (``shared.row_name``), by which the
+    rows of ``docs`` can be joined.
     ``root`` names the component by a node of it, whatever the ids are: ids may be
     null or repeat, so components can share a ``component_id``. Null for empty sets.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(11), F.col(key), F.col(text)).alias("row"))
-    profile = written(rows.select("doc_id", "text", "row").mapInArrow(_profile, "doc_id long, row long, n_shingles long, node long"), "shingle-profile")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_name(F.col(key), F.col(text)).alias("row"))
+    profile = written(rows.select("doc_id", "text", "row").mapInArrow(_profile, "doc_id long, row binary, n_shingles long, node long"), "shingle-profile")
     total = profile.where("node IS NOT NULL").agg(F.sum("n_shingles")).first()[0] or 0
     # About 0.8 signatures of 5 bytes a shingle.
     buckets = max(2 * spark.sparkContext.defaultParallelism, int(total * 4 // BUCKET_BYTES) + 1)
