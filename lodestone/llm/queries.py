@@ -36,7 +36,7 @@ def op3_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = domain_mixing.mix(table(spark, sf_dir, "documents"), labels, SHARES)
     places = F.array_sort(F.array(*[F.lit(d) for d in SHARES]))
     posterior = [F.coalesce(F.element_at("posterior", F.array_position(places, d).cast("int")), F.lit(0.0)).alias(f"p_{d}") for d in SHARES]
-    return mixed.select("doc_id", "n_tokens", "domain", *posterior, "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", "domain", *posterior, "rate", "copies", "residual")
 
 
 def op4_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
-    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
