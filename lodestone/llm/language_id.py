@@ -7,14 +7,17 @@ what stands before it, and each block is compressed with each dictionary. The
 language with the smallest sum wins. A text whose winner is better than the
 second by less than ``margin`` (a share of the second's size) is rejected.
 
-The dictionaries come from a bounded sample: of each language the
-``SAMPLE_DOCS`` training documents with the smallest hash, ``SAMPLE_CHARS``
-characters each, ``DICT_BYTES`` in all. Only they travel to the tasks.
+The dictionaries come from a bounded sample: of each language the training
+documents with the smallest hash, at most ``SAMPLE_DOCS``, whole texts each, as
+many as fit into ``DICT_BYTES`` in that order (one that does not fit is passed
+over). Only the dictionaries travel to the tasks.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0
-and rejected; equal sizes go to the language with more training text; repeated
-rows give repeated rows; rows with a null key are never held out nor learnt
-from; without any labelled row all is ``und``; other columns are ignored.
+and rejected; very long texts are judged whole, block by block; equal sizes go to
+the language with more training text, then to the smaller name; repeated rows
+give repeated rows; rows with a null key are never held out nor learnt from;
+without any labelled row all is ``und``; other columns are passed on, those named
+like an added one as ``<name>_given``.
 """
 
 from __future__ import annotations
@@ -28,8 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_DOCS = 600
-SAMPLE_CHARS = 320
+SAMPLE_DOCS = 200
 DICT_BYTES = 110 << 10
 BLOCK = 2048
 LEVEL = 6
@@ -53,14 +55,31 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """The dictionary of each language, from a bounded sample of the labelled rows."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_key").isNotNull() & ~held_out(F.col("_key")))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(5), "_key"), "_key")
-    picked = rows.select("_key", "_lang").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS rows of two short values a language: a proven size bound.
-    sample = rows.join(F.broadcast(picked.select("_key", "_lang", "_rn")), ["_key", "_lang"]).select("_lang", "_rn", F.substring("_text", 1, SAMPLE_CHARS).alias("_text"))
+    draw = F.xxhash64(F.lit(5), "_key")
+    # Most rows are passed over by their hash before any is ranked, so no task ranks a whole language.
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 4.0 * SAMPLE_DOCS / n))])
+    drawn = rows.where(F.pmod(draw, F.lit(1 << 30)) < F.element_at(share, F.col("_lang")) * float(1 << 30))
+    order = Window.partitionBy("_lang").orderBy(draw, "_key", "_bytes")
+    ranked = drawn.select("_key", "_lang", F.octet_length("_text").alias("_bytes")).where(F.col("_bytes").between(1, DICT_BYTES)).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= SAMPLE_DOCS)
+    # At most SAMPLE_DOCS rows of three short values a language: a proven size bound.
+    room, fitting = dict.fromkeys(counts, DICT_BYTES), []
+    for r in sorted(ranked.collect(), key=lambda r: (r["_lang"], r["_rn"])):
+        if r["_bytes"] + 1 <= room[r["_lang"]]:
+            room[r["_lang"]] -= r["_bytes"] + 1
+            fitting.append((r["_key"], r["_lang"], r["_bytes"], r["_rn"]))
+    if not fitting:
+        return {}
+    schema = T.StructType([drawn.schema["_key"]]).add("_lang", "string").add("_bytes", "integer").add("_rn", "integer")
+    chosen = docs.sparkSession.createDataFrame(fitting, schema)
+    # At most DICT_BYTES a language; of rows with one key and size the smallest text.
+    sample = drawn.withColumn("_bytes", F.octet_length("_text")).join(F.broadcast(chosen), ["_key", "_lang", "_bytes"]).groupBy("_lang", "_rn").agg(F.min("_text").alias("_text"))
     parts: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["_lang"], r["_rn"], r["_text"])):
+    for row in sorted(sample.collect(), key=lambda r: (r["_lang"], r["_rn"])):
         parts.setdefault(row["_lang"], []).append(fold(row["_text"]))
-    return {name: b" ".join(p)[:DICT_BYTES] for name, p in parts.items() if any(p)}
+    return {name: b" ".join(p) for name, p in parts.items() if any(p)}
 
 
 class Judge:
@@ -98,6 +117,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             cols = [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([min(1.0, g[1] / SURE) for g in got], pa.float64()), pa.array([g[0] == "und" or g[1] < margin for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    kept = docs.drop("lang_pred", "score", "rejected")
+    kept = docs.withColumnsRenamed({n: f"{n}_given" for n in ("lang_pred", "score", "rejected")})
     schema = T.StructType(list(kept.schema)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return kept.mapInArrow(run, schema)

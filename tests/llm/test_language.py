@@ -23,6 +23,41 @@ def test_held_out_rows_teach_nothing(spark, sf):
     assert li.learn(docs) == li.learn(spoiled)
 
 
+def test_against_the_library_by_hand(spark, sf):
+    """Sizes from zstandard's own calls, on whole texts cut in blocks."""
+    import re
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dictionaries = li.learn(docs)
+    coders = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=6, write_content_size=False, write_checksum=False, write_dict_id=False) for n, d in dictionaries.items()}
+    order = sorted(dictionaries, key=lambda n: (-len(dictionaries[n]), n))
+    for r in li.identify(docs, dictionaries).collect():
+        flat = re.sub(r"[\W\d_]+", " ", (r["text"] or "").lower()).strip().encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["rejected"]) == ("und", True)
+            continue
+        sizes = [sum(len(coders[n].compress(flat[k : k + 2048])) for k in range(0, len(flat), 2048)) for n in order]
+        first, second = sorted(sizes)[:2]
+        assert r["lang_pred"] == order[sizes.index(first)]
+        assert r["rejected"] == ((second - first) / max(second, 1) < li.MARGIN)
+
+
+def test_dictionaries_hold_whole_texts(spark):
+    rows = [(k, chr(97 + k % 26) * 3 + " " + (chr(98 + k // 26) * 2 + " ") * (10 + 500 * (k % 5)), "aa") for k in range(400)]
+    got = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["aa"].decode()
+    assert len(got) <= li.DICT_BYTES
+    pieces = {li.fold(t).decode() for _, t, _ in rows}
+    assert pieces and len({p for p in pieces if p in got}) > 5
+
+
+def test_clashing_names_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two", -5.0, "x", True)], "doc_id long, text string, score double, lang_pred string, rejected boolean")
+    row = li.identify(docs, {"aa": b"one two three"}).first()
+    assert (row["score_given"], row["lang_pred_given"], row["rejected_given"]) == (-5.0, "x", True) and row["lang_pred"] == "aa"
+
+
 def test_edges(spark):
     text = {"aa": "one two three four five six " * 30, "bb": "uno dos tres cuatro cinco seis " * 30}
     rows = [(k, text[n], n) for k, n in enumerate(["aa", "bb"] * 10)]
