@@ -17,8 +17,9 @@ finished attempt returns are read on, so lost executors do no harm.
 
 Defined results: null html is an empty payload; a null url gives no target
 header; a null page_id is kept and never referred to; repeated pages (same id,
-same payload) are all responses; an empty table gives no rows; other columns are
-ignored.
+same payload) are all responses; of equal payloads with the largest page_id twice
+both are responses; very long payloads are written and read whole, one at a time;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,6 +141,10 @@ def decide(listed: DataFrame) -> DataFrame:
     return out.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("_keep") != F.col("page_id")), F.col("_keep"))).drop("_keep")
 
 
+def archives(listed: DataFrame, name: str = "archive") -> int:
+    return max(1, listed.agg(F.count_distinct(name)).first()[0])
+
+
 def normalise(decided: DataFrame, folder: str) -> DataFrame:
     """Rewrite each archive; one row an archive: its name and its sidecar's path."""
 
@@ -162,10 +167,11 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([offset], pa.int64())})
 
     revisits = decided.groupBy("archive").agg(F.collect_list(F.when(F.col("refers_to").isNotNull(), F.struct("ordinal", "refers_to"))).alias("refers"))
-    return revisits.mapInArrow(run, "path string, records long, bytes long")
+    # An archive is a task's work; names are dealt evenly, and their number grows with the pages.
+    return revisits.repartitionByRange(archives(decided), "archive").mapInArrow(run, "path string, records long, bytes long")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(written_: DataFrame) -> DataFrame:
     """One row a record, read by the offsets in the sidecars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +197,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "archive", "offset"])
 
-    return archives.select("path").repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, offset long")
+    return written_.select("path").repartitionByRange(archives(written_, "path"), "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, offset long")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
