@@ -34,7 +34,8 @@ A node is named by a 64-bit hash of its set.
 Defined results: null text or text without words has an empty set, links with
 nothing and is its own component; rows with one doc_id and different texts are
 judged each by its text; a component's id is its smallest doc_id that is not
-null; an empty table gives no rows; other columns are ignored.
+null; very long texts give all their shingles; repeated rows are one node; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -447,7 +448,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # About 0.8 signatures of 5 bytes a shingle.
     buckets = max(2 * spark.sparkContext.defaultParallelism, int(total * 4 // BUCKET_BYTES) + 1)
     signed = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_sign(buckets, percent), _SIGNED)
-    groups = written(signed.groupBy("bucket").applyInArrow(_group(percent), _GROUPS), "signature-groups")
+    groups = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group(percent), _GROUPS), "signature-groups")
 
     firsts = groups.select("nodes", "near", "how_near").mapInArrow(_first_pairs, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     placed = written(groups.select("bucket", "nodes").mapInArrow(_nodes, "bucket int, node long"), "group-nodes")
