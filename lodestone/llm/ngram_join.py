@@ -16,8 +16,9 @@ that at most the spare number of its parts fall short of, and since a shared
 signature has the same count in both sets, one that both keep remains.
 
 Candidates. Signatures are packed per task and bucket and shuffled by bucket; the
-number of buckets grows with the data. Where a signature is shared, sizes and
-parity sketches of the sets rule out most pairs that cannot link: a sketch has a
+number of buckets grows with the data. Only where a signature is shared are the
+sizes and parity sketches of its nodes joined to the bucket, and a group of nodes
+that share many signatures is kept in one of its buckets. Sizes and parity sketches of the sets rule out most pairs that cannot link: a sketch has a
 bit for each cell of the feature domain, the parity of the set's features in it,
 so two sketches differ in at most as many bits as the sets in features.
 
@@ -55,13 +56,13 @@ from .hashing import mixed, shingles
 from .shared import row_name, spread_join, written
 
 PERCENT = 80
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 48 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 SPARE = 0.1
 FEW = 2
 FINE = 8
 CLOSEST_ROUNDS = 2
-HELD_BYTES = 64 << 20
+HELD_BYTES = 16 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -157,11 +158,19 @@ def node_of(features: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(features.tobytes()) - (1 << 63)
 
 
+def _shingled(column: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each text, one text at a time."""
+    return (shingles(x.as_py() or b"") for x in column.cast(pa.binary()))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else np.zeros(0) for t in batch.column(1)]
-        nodes = [node_of(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "row", "n_shingles", "node"])
+        sizes, nodes, shapes = [], [], []
+        for s in _shingled(batch.column(1)):
+            sizes.append(len(s))
+            nodes.append(node_of(s) if len(s) else None)
+            shapes.append(parities(s) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(shapes, pa.binary())], ["doc_id", "row", "n_shingles", "node", "shape"])
 
 
 def _sign(buckets: int, percent: int):
@@ -170,7 +179,6 @@ def _sign(buckets: int, percent: int):
     def packed(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         nodes = np.array(list(sets), np.int64)
         arrays = list(sets.values())
-        sizes, shapes = np.array([len(s) for s in arrays], np.int64), [parities(s) for s in arrays]
         sigs, whose = signatures(arrays, percent)
         bucket = ((sigs >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         order = np.lexsort((whose, bucket))
@@ -182,17 +190,16 @@ def _sign(buckets: int, percent: int):
             if a == b:
                 continue
             present, counts = np.unique(whose[a:b], return_counts=True)
-            rows.append((k, nodes[present].tobytes(), sizes[present].astype(np.uint32).tobytes(), [shapes[i] for i in present], counts.astype(np.uint32).tobytes(), (sigs[a:b] >> np.uint64(8)).astype(np.uint32).tobytes(), (sigs[a:b] & np.uint64(255)).astype(np.uint8).tobytes()))
+            rows.append((k, nodes[present].tobytes(), counts.astype(np.uint32).tobytes(), (sigs[a:b] >> np.uint64(8)).astype(np.uint32).tobytes(), (sigs[a:b] & np.uint64(255)).astype(np.uint8).tobytes()))
         cols = list(zip(*rows))
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "nodes", "sizes", "shapes", "counts", "high", "low"])
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "nodes", "counts", "high", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py().encode("utf-8", "surrogatepass"))
+            for s in _shingled(batch.column(0)):
                 if len(s) and (node := node_of(s)) not in sets:
                     sets[node] = s
                     size += 8 * len(s)
@@ -205,8 +212,8 @@ def _sign(buckets: int, percent: int):
     return run
 
 
-_SIGNED = "bucket int, nodes binary, sizes binary, shapes array<binary>, counts binary, high binary, low binary"
-_GROUPS = "bucket int, part long, nodes binary, sizes binary, shapes array<binary>, members binary, ends binary, near binary, how_near binary"
+_SIGNED = "bucket int, nodes binary, counts binary, high binary, low binary"
+_GROUPS = "bucket int, nodes binary, members binary, ends binary, names binary"
 
 
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -244,63 +251,59 @@ class Sketches:
         return out
 
 
-def _group(percent: int):
+def _group(table: pa.Table) -> pa.Table:
     """All packed rows of a bucket in; its groups of nodes that share a signature out."""
-
-    def run(table: pa.Table) -> pa.Table:
-        columns = {n: table.column(n).to_pylist() for n in ("nodes", "sizes", "shapes", "counts", "high", "low")}
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in columns["nodes"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in columns["counts"]]).astype(np.int64)
-        sig = np.concatenate([np.frombuffer(x, np.uint32) for x in columns["high"]]).astype(np.uint64) << np.uint64(8)
-        sig |= np.concatenate([np.frombuffer(x, np.uint8) for x in columns["low"]])
-        unique, first, own = np.unique(nodes, return_index=True, return_inverse=True)
-        order = np.argsort(sig, kind="stable")
-        sig, who = sig[order], np.repeat(own, counts).astype(np.int32)[order]
-        # Keep signatures that several entries have, then drop a node's repeats in one.
-        edge = np.concatenate([[True], sig[1:] != sig[:-1]])
-        alone = edge & np.concatenate([edge[1:], [True]])
-        sig, who = sig[~alone], who[~alone]
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])]) if len(sig) else np.zeros(0, bool)
-        sig, who = sig[fresh], who[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate([starts, [len(sig)]]))
-        # Groups with the same members count once.
-        name = np.add.reduceat(mixed(unique[who].view(np.uint64)), starts) if len(sig) else np.zeros(0, np.uint64)
-        _, one = np.unique(name, return_index=True)
-        one = one[sizes[one] > 1]
-        members = np.concatenate([who[starts[i] : starts[i] + sizes[i]] for i in one]) if len(one) else np.zeros(0, np.int32)
-        present, local = np.unique(members, return_inverse=True)
-        all_sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in columns["sizes"]]).astype(np.int64)
-        flat = list(itertools.chain.from_iterable(columns["shapes"]))
-        kept = first[present]
-        own_sizes, shapes = all_sizes[kept], [flat[i] for i in kept]
-        ends = np.cumsum(sizes[one])
-        # For each node the closest of the first nodes of its groups.
-        near, how_near = np.full(len(present), -1, np.int64), np.zeros(len(present), np.int64)
-        if len(one):
-            leader = np.repeat(local[ends - sizes[one]], sizes[one])
-            pairs = np.unique(local * len(present) + leader)
-            a, b = pairs // len(present), pairs % len(present)
-            d = np.where(a == b, -1, Sketches(own_sizes, shapes, percent).distance(a, b))
-            order = np.lexsort((b, d))[::-1]
-            order = order[d[order] >= 0]
-            near[a[order]], how_near[a[order]] = b[order], d[order]
-        return pa.Table.from_pydict(
-            {"bucket": [table.column("bucket")[0].as_py()], "part": [0], "nodes": [unique[present].tobytes()], "sizes": [own_sizes.tobytes()], "shapes": [shapes], "members": [local.astype(np.int32).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "near": [near.tobytes()], "how_near": [how_near.tobytes()]},
-            schema=pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("shapes", pa.list_(pa.binary())), ("members", pa.binary()), ("ends", pa.binary()), ("near", pa.binary()), ("how_near", pa.binary())]),
-        )
-
-    return run
+    flat = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+    bucket = table.column("bucket")[0].as_py()
+    unique, own = np.unique(flat("nodes", np.int64), return_inverse=True)
+    who = np.repeat(own.astype(np.int32), flat("counts", np.uint32))
+    sig = (flat("high", np.uint32).astype(np.uint64) << np.uint64(8)) | flat("low", np.uint8)
+    del table, own
+    order = np.argsort(sig, kind="stable")
+    sig, who = sig[order], who[order]
+    # Keep signatures that several entries have, then drop a node's repeats in one.
+    edge = np.concatenate([[True], sig[1:] != sig[:-1]])
+    alone = edge & np.concatenate([edge[1:], [True]])
+    sig, who = sig[~alone], who[~alone]
+    del order, edge, alone
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])]) if len(sig) else np.zeros(0, bool)
+    sig, who = sig[fresh], who[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(sig)]]))
+    # Groups with the same members count once; they are named by 128 bits.
+    hashed = mixed(unique[who].view(np.uint64))
+    name = np.stack([np.add.reduceat(h, starts) for h in (hashed, mixed(hashed * _C[0]))], axis=1) if len(sig) else np.zeros((0, 2), np.uint64)
+    _, one = np.unique(name, return_index=True, axis=0)
+    one = one[sizes[one] > 1]
+    members = np.concatenate([who[starts[i] : starts[i] + sizes[i]] for i in one]) if len(one) else np.zeros(0, np.int32)
+    present, local = np.unique(members, return_inverse=True)
+    out = {"bucket": [bucket], "nodes": [unique[present].tobytes()], "members": [local.astype(np.int32).tobytes()], "ends": [np.cumsum(sizes[one]).astype(np.int64).tobytes()], "names": [name[one].tobytes()]}
+    return pa.Table.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("members", pa.binary()), ("ends", pa.binary()), ("names", pa.binary())]))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, names in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names = np.frombuffer(names.as_py(), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), bucket, np.int32)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())], ["bucket", "name", "more"])
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets with the names of the groups that stay in them in; the buckets with only those out."""
     for batch in batches:
-        for nodes, near, how in zip(*(c.to_pylist() for c in batch.columns)):
-            nodes, near, how = np.frombuffer(nodes, np.int64), np.frombuffer(near, np.int64), np.frombuffer(how, np.int64)
-            has = np.flatnonzero(near >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[near[has]]), pa.array(how[has])], ["a", "b", "d"])
+        for k in range(batch.num_rows):
+            bucket, nodes, members, ends, names = (batch.column(i)[k].as_py() for i in range(5))
+            stay = batch.column(5)[k].values
+            stay = set(zip(stay.field(0).to_pylist(), stay.field(1).to_pylist()))
+            ends, members = np.frombuffer(ends, np.int64), np.frombuffer(members, np.int32)
+            keep = np.array([tuple(x) in stay for x in np.frombuffer(names, np.int64).reshape(-1, 2).tolist()], bool)
+            sizes = np.diff(np.concatenate([[0], ends]))
+            members, sizes = members[np.repeat(keep, sizes)], sizes[keep]
+            present, local = np.unique(members, return_inverse=True)
+            cols = [np.frombuffer(nodes, np.int64)[present], local.astype(np.int32), np.cumsum(sizes).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["bucket", "nodes", "members", "ends"])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +316,29 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Groups:
     """The groups of a bucket, with what is known of its nodes by now."""
 
-    def __init__(self, row: dict, percent: int):
-        self.nodes, members, ends, sizes = (np.frombuffer(row[n], t) for n, t in (("nodes", np.int64), ("members", np.int32), ("ends", np.int64), ("sizes", np.int64)))
-        self.coarse = Sketches(sizes, row["shapes"], percent)
-        known = {n["node"]: n for n in row["known"] or []}
-        self.known = [known.get(n) for n in self.nodes.tolist()]
-        self.label = np.array([k["root"] if k else n for k, n in zip(self.known, self.nodes.tolist())], np.int64)
-        self.members, self.starts, self.ends = members, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+    def __init__(self, nodes: bytes, members: bytes, ends: bytes, facts: pa.StructArray, known: pa.StructArray | None, percent: int):
+        self.nodes, self.members, self.ends = np.frombuffer(nodes, np.int64), np.frombuffer(members, np.int32), np.frombuffer(ends, np.int64)
+        facts = facts.take(pa.array(np.argsort(facts.field("node").to_numpy())))
+        self.coarse = Sketches(facts.field("size").to_numpy(), facts.field("shape").to_pylist(), percent)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        # Nodes of which nothing is known yet are components of their own.
+        self.label, self.known = self.nodes.copy(), known
+        self.at = np.searchsorted(self.nodes, known.field("node").to_numpy()) if known is not None else np.zeros(0, np.int64)
+        if len(self.at):
+            self.label[self.at] = known.field("root").to_numpy()
+
+    def tried(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, node) pairs that were held against each other, as far as both are here."""
+        if not len(self.at):
+            return self.at, self.at
+        lists = self.known.field("tried")
+        who, other = np.repeat(self.at, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+        place = np.minimum(np.searchsorted(self.nodes, other), len(self.nodes) - 1)
+        here = self.nodes[place] == other
+        return who[here], place[here]
+
+    def fine(self) -> dict[int, bytes]:
+        return {int(at): x for at, x in zip(self.at, self.known.field("fine").to_pylist()) if x is not None} if len(self.at) else {}
 
     def cross_pairs(self, wanted: np.ndarray | None = None, held: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, sketch distance) of pairs of a group in different components that may link."""
@@ -365,16 +384,31 @@ def _each(percent: int, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from make(Groups({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}, percent))
+                yield from make(Groups(*(batch.column(i)[k].as_py() for i in range(3)), batch.column(3)[k].values, batch.column(4)[k].values, percent))
 
     return run
 
 
+def _firsts(groups: Groups) -> Iterator[pa.RecordBatch]:
+    """(a, b, d): for each node the closest of the first nodes of its groups."""
+    n = len(groups.nodes)
+    if not len(groups.ends):
+        return
+    leader = np.repeat(groups.members[groups.starts], groups.ends - groups.starts)
+    pairs = np.unique(groups.members.astype(np.int64) * n + leader)
+    a, b = pairs // n, pairs % n
+    d = np.where(a == b, -1, groups.coarse.distance(a, b))
+    order = np.lexsort((b, d, a))
+    order = order[d[order] >= 0]
+    first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+    yield pa.RecordBatch.from_arrays([pa.array(groups.nodes[a[first]]), pa.array(groups.nodes[b[first]]), pa.array(d[first])], ["a", "b", "d"])
+
+
 def _closest(groups: Groups) -> Iterator[pa.RecordBatch]:
     """(a, b, d): for each node its closest node of another component that it was not held against."""
     n = len(groups.nodes)
-    place = {x: i for i, x in enumerate(groups.nodes.tolist())}
-    tried = np.array([i * n + place[t] for i, k in enumerate(groups.known) for t in (k["tried"] or [] if k else []) if t in place], np.int64)
+    one, other = groups.tried()
+    tried = one * n + other
     best, least = np.full(n, -1, np.int64), np.full(n, 1 << 40, np.int64)
     for a, b, d in groups.cross_pairs():
         fresh = ~np.isin(a * n + b, tried)
@@ -401,8 +435,10 @@ def _open(groups: Groups) -> Iterator[pa.RecordBatch]:
 
 def _left(groups: Groups) -> Iterator[pa.RecordBatch]:
     """(a, partners): all pairs of open nodes that the fine sketches leave, listed by one of them."""
-    wanted = np.array([k is not None and k["fine"] is not None for k in groups.known], bool)
-    fine = Sketches(groups.coarse.sizes, [k["fine"] if w else bytes(8) for k, w in zip(groups.known, wanted)], groups.coarse.percent) if wanted.any() else None
+    known = groups.fine()
+    wanted = np.zeros(len(groups.nodes), bool)
+    wanted[list(known)] = True
+    fine = Sketches(groups.coarse.sizes, [known.get(k, bytes(8)) for k in range(len(groups.nodes))], groups.coarse.percent) if known else None
     found: dict[int, set[int]] = {}
     for a, b, _ in groups.cross_pairs(wanted) if fine else ():
         ok = fine.distance(a, b) >= 0
@@ -413,7 +449,7 @@ def _left(groups: Groups) -> Iterator[pa.RecordBatch]:
 
 def _with_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fine = [parities(shingles(t.as_py().encode("utf-8", "surrogatepass")), FINE) for t in batch.column(1)]
+        fine = [parities(s, FINE) for s in _shingled(batch.column(1))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fine, pa.binary())], ["node", "text", "fine"])
 
 
@@ -443,17 +479,21 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_name(F.col(key), F.col(text)).alias("row"))
-    profile = written(rows.select("doc_id", "text", "row").mapInArrow(_profile, "doc_id long, row binary, n_shingles long, node long"), "shingle-profile")
+    profile = written(rows.select("doc_id", "text", "row").mapInArrow(_profile, "doc_id long, row binary, n_shingles long, node long, shape binary"), "shingle-profile")
     total = profile.where("node IS NOT NULL").agg(F.sum("n_shingles")).first()[0] or 0
     # About 0.8 signatures of 5 bytes a shingle.
     buckets = max(2 * spark.sparkContext.defaultParallelism, int(total * 4 // BUCKET_BYTES) + 1)
     signed = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_sign(buckets, percent), _SIGNED)
-    groups = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group(percent), _GROUPS), "signature-groups")
+    found = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group, _GROUPS), "signature-groups")
+    # Sets that share one signature share many, in many buckets: each group stays in one of its buckets.
+    named = found.select("bucket", "names").mapInArrow(_names, "bucket int, name long, more long")
+    one = named.groupBy("name", "more").agg(F.min_by("bucket", F.xxhash64("bucket", "name")).alias("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("name", "more")).alias("stay"))
+    groups = written(found.join(one, "bucket").select("bucket", "nodes", "members", "ends", "names", "stay").mapInArrow(_kept, "bucket int, nodes binary, members binary, ends binary"), "groups-once")
 
-    firsts = groups.select("nodes", "near", "how_near").mapInArrow(_first_pairs, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     placed = written(groups.select("bucket", "nodes").mapInArrow(_nodes, "bucket int, node long"), "group-nodes")
     active = placed.select("node").distinct()
-    shown = profile.join(active, "node").groupBy("node").agg(F.min("row").alias("row"))
+    facts = written(profile.join(active, "node").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("shape").alias("shape")), "active-nodes")
+    shown = facts.select("node", "row")
     chosen = rows.select("row", "text").join(shown, "row").select("node", "text").dropDuplicates(["node"])
     texts = written(chosen.mapInArrow(_with_fine, "node long, text string, fine binary"), "active-texts")
 
@@ -463,30 +503,42 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return written(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
-    def told(known: DataFrame) -> DataFrame:
-        """The groups with what is known of their nodes: root, tried, fine."""
-        per = placed.join(known, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "root", "tried", "fine")).alias("known"))
-        return groups.join(per, "bucket", "left").select("nodes", "sizes", "shapes", "members", "ends", "known")
-
-    tried = written(firsts.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    sizes = placed.join(facts.select("node", F.struct("node", "size", "shape").alias("fact")), "node").groupBy("bucket").agg(F.collect_list("fact").alias("facts"))
+    full = written(groups.join(sizes, "bucket"), "groups")
+
+    def told(known: DataFrame | None, make, schema: str) -> DataFrame:
+        """``make`` of the groups with what is known of their nodes by now: root, tried, fine."""
+        kind = "array<struct<node:bigint,root:bigint,tried:array<bigint>,fine:binary>>"
+        if known is None:
+            rows = full.withColumn("known", F.lit(None).cast(kind))
+        else:
+            rest = {"root": "bigint", "tried": "array<bigint>", "fine": "binary"}
+            columns = [F.col(n).cast(t).alias(n) if n in known.columns else F.lit(None).cast(t).alias(n) for n, t in rest.items()]
+            of = known.select("node", F.struct("node", *columns).alias("known"))
+            rows = full.join(placed.join(of, "node").groupBy("bucket").agg(F.collect_list("known").alias("known")), "bucket", "left")
+        return rows.select("nodes", "members", "ends", "facts", "known").mapInArrow(_each(percent, make), schema)
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+        return written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+
+    tried = nearest(told(None, _firsts, "a long, b long, d long"))
     links = verified(tried)
     roots = components(links)
     for _ in range(CLOSEST_ROUNDS):
         both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ways = both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))
-        known = roots.join(ways, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), "tried", F.lit(None).cast("binary").alias("fine"))
-        near = told(known).mapInArrow(_each(percent, _closest), "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        pairs = written(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        known = roots.join(ways, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), "tried")
+        pairs = nearest(told(known, _closest, "a long, b long, d long"))
         fresh = verified(pairs)
         tried = tried.unionAll(pairs)
         if not fresh.limit(1).count():
             break
         links = links.unionAll(fresh)
         roots = components(links)
-    bare = roots.select("node", "root", F.lit(None).cast("array<bigint>").alias("tried"), F.lit(None).cast("binary").alias("fine"))
-    still = written(told(bare).mapInArrow(_each(percent, _open), "node long").distinct(), "open-nodes")
-    known = still.join(texts.select("node", "fine"), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.lit(None).cast("array<bigint>").alias("tried"), "fine")
-    rest = told(known).mapInArrow(_each(percent, _left), "a long, partners array<bigint>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("p"))
+    still = written(told(roots, _open, "node long").distinct(), "open-nodes")
+    known = still.join(texts.select("node", "fine"), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fine")
+    rest = told(known, _left, "a long, partners array<bigint>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("p"))
     rest = written(rest.select("a", F.explode("p").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = links.unionAll(verified(rest))
@@ -496,5 +548,5 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rooted = per_node.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     least = rooted.where("root IS NOT NULL").groupBy("_root").agg(F.min("_least").alias("_id"))
     named = rooted.join(least, "_root", "left").where("_n > 1 OR root IS NOT NULL").select("node", "_root", F.coalesce("_id", "_least").alias("_component"))
-    out = spread_join(profile, written(named, "classes"), "node", "row")
+    out = spread_join(profile.drop("shape"), written(named, "classes"), "node", "row")
     return out.select("doc_id", "row", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_root", "node").alias("root"))

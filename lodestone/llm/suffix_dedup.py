@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import letters, mixed
-from .shared import row_name, spread_join, written
+from .shared import freed, row_name, spread_join, written
 
 LENGTH = 400
 PART = 256
@@ -429,6 +429,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, part: int = PART, bits
     kinds = runs.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "left", "right")).alias("at"))
     shared = kinds.groupBy("anchor").agg(F.sum("n").alias("_runs"), F.count("*").alias("_kinds"), F.sum((F.col("n") == 1).cast("int")).alias("_once")).where("_runs > 1")
     live = written(kinds.join(shared, "anchor"), "kinds")
+    freed(rows.sparkSession)
 
     # Runs that are equal as a whole, by hash.
     twice = live.where("n > 1").select("anchor", "whole", "n")
@@ -446,6 +447,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, part: int = PART, bits
     partial = _items(members, WINDOWS, "grp", f"_m > {part}", f"pmod(xxhash64(key, pos), 1 + _m div {part})", "once", lo, f"{hi} - {lo} + 1").where("item.n > 0")
 
     done = confirmed(whole.unionAll(partial))
+    freed(rows.sparkSession)
     odd = functools.reduce(DataFrame.unionAll, [d.where(F.col("what") == ODD).select("key", F.col("lo").alias("_lo")) for d in done])
     left = done[0].where(F.col("what") == LEFT).select("grp", "once", "key", "lo")
     if left.limit(1).count():

@@ -1,7 +1,9 @@
 """The pipeline against a brute-force version of each stage, each on its own input."""
 
-import hashlib
+import itertools
+import random
 import sys
+from collections import Counter
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -10,7 +12,58 @@ import corpus_pipeline as cp
 from lodestone.llm import domain_mixing, language_id
 
 from .test_ngram_join import brute as classes
-from .test_suffix_dedup import brute as cut
+
+
+def cut_passages(texts, length, words):
+    """Each text without its stretches of that many words of bytes that repeated windows cover."""
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(raw[k : k + length] for raw in raws for k in range(len(raw) - length + 1))
+    out = []
+    for text, raw in zip(texts, raws):
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            if seen[raw[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        kept, changed = bytearray(), False
+        for flag, part in itertools.groupby(zip(gone, raw), key=lambda x: x[0]):
+            piece = bytes(b for _, b in part)
+            cut = flag and len(piece.split()) >= words
+            changed |= bool(cut)
+            kept += b"" if cut else piece
+        out.append(kept.decode("utf-8", "ignore") if changed else text)
+    return out
+
+
+def test_passages_of_over_fifty_words_are_cut_and_shorter_ones_stay(spark, sf):
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    long, short, clean = [prose(n) for n in (51, 55, 62, 70)], [prose(n) for n in (20, 40)], [prose(200) for _ in range(6)]
+    rows = [(k, f"{prose(30)} {p} {prose(30)}") for k, p in enumerate(p for p in long + short for _ in range(3))]
+    rows += [(100 + k, t) for k, t in enumerate(clean)]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in cp.repeated_passages(spark, docs, sf).collect()}
+    for k, t in rows:
+        if k < 3 * len(long):
+            assert long[k // 3] not in got[k] and len(got[k].split()) >= 58
+        else:
+            assert got[k] == t
+
+
+def test_edges_of_all_stages(spark, sf):
+    """Empty tables, nulls in every column and columns whose names the stages use."""
+    row = [(1, "the words of a text that stand here", "en", "s", 9, -5.0, 7, 8, "x", True), (None, None, None, None, None, None, None, None, None, None), (2, "", "en", None, 0, 1.0, 1, 1, "y", False)]
+    docs = spark.createDataFrame(row, "doc_id long, text string, lang string, source string, n_chars long, score double, row long, _row long, lang_pred string, rejected boolean")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        got = stage(spark, docs, sf)
+        rows = got.collect()
+        if name == "tokens":
+            assert len(rows) == 3
+        else:
+            assert got.columns == docs.columns
+            kept = {r["doc_id"]: r for r in rows}
+            assert name == "language" or set(kept) == {1, 2, None}
+            assert all(kept[k]["score"] == s and kept[k]["_row"] == w for k, s, w in ((1, -5.0, 8), (2, 1.0, 1)) if k in kept)
 
 
 def test_stages(spark, sf, tmp_path, tokenizer_path):
@@ -29,21 +82,16 @@ def test_stages(spark, sf, tmp_path, tokenizer_path):
             found = classes([(r["doc_id"], r["text"]) for r in before])
             assert sorted(r["doc_id"] for r in after) == sorted({c for _, c in found.values()})
         elif name == "repeated_passages":
-            want = cut([r["text"] for r in before], 400)
             got = {r["doc_id"]: r["text"] for r in after}
-            for r, (n, removed, _, kept) in zip(before, want):
-                if not removed:
-                    assert got[r["doc_id"]] == r["text"]
-                else:
-                    raw = got[r["doc_id"]].encode()
-                    assert n - removed - 8 <= len(raw) <= n - removed
-                    assert len(raw) < n - removed or hashlib.sha256(raw).hexdigest() == kept
+            want = cut_passages([r["text"] for r in before], cp.PASSAGE_BYTES, cp.PASSAGE_WORDS)
+            assert [got[r["doc_id"]] for r in before] == want
+            assert all(r["n_chars"] == len(r["text"]) for r in after if r["text"] is not None)
         elif name == "mixing":
             toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
             gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in after}
             clean = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0 AND quality = 1").collect()}
             assert not gone & clean
-            rates = {r["doc_id"]: r["rate"] for r in domain_mixing.mix(docs, domain_mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet")), cp.CHANGES, relative=True).collect()}
+            rates = {r["doc_id"]: r["rate"] for r in domain_mixing.mix(docs, domain_mixing.label_toxic(spark.read.parquet(f"{sf}/labels.parquet")), cp.CHANGES, relative=True).collect()}
             assert gone == {d for d, rate in rates.items() if rate < 0.5} and len(toxic) > 0
         else:
             from lodestone.llm import bpe_codec
