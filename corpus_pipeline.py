@@ -33,15 +33,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, domain_mixing, language_id, ngram_join, suffix_dedup
 from lodestone.llm.queries import tokenizer_file
-from lodestone.llm.shared import row_name, scratch_path
+from lodestone.llm.shared import bounded_batches, freed, row_name, scratch_path
 
 #: What each domain's tokens are multiplied by.
 CHANGES = {"toxic": 0.02}
 #: A repeated passage has this many words at least; it is found by strings of so many bytes.
-PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 250
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     # The docs travel as one column, so that none of theirs can clash with what is added.
     kept = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     told = language_id.identify(kept, language_id.learn(docs))
@@ -54,6 +55,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    freed(spark)
     classes = ngram_join.similarity_classes(docs).where("n_shingles > 0")
     # Ids may be null or repeat, so the class goes by its root.
     kept = classes.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
@@ -63,6 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    freed(spark)
     cut = suffix_dedup.deduplicated(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
