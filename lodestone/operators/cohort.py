@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, count_bucket, hmac_sha256, length_prefix
 from ..plans.policy import DEFAULT_RETAINED, DIGEST_BYTES, Cohort, Profile
-from .govern import with_keys
+from .govern import value_at, with_keys
 
 
 def equals(column: Column, kind: str, expected: object) -> Column:
@@ -24,10 +24,13 @@ def equals(column: Column, kind: str, expected: object) -> Column:
 
 
 def eligible(rows: DataFrame, cohort: Cohort) -> DataFrame:
-    """Rows that meet all predicates and have all keys."""
-    kinds = dict(rows.dtypes)
-    tests = [equals(F.col(a), kinds[a], v) if a in kinds else F.lit(False) for a, v in cohort.predicates]
-    return rows.where(all_of(tests + [F.col(k).isNotNull() for k in cohort.key_paths]))
+    """Rows that meet all predicates and have all keys; both may be paths through structs and maps."""
+    tests = []
+    for path, wanted in cohort.predicates:
+        found = value_at(rows, path)
+        tests.append(equals(found[0], found[1].simpleString(), wanted) if found else F.lit(False))
+    keys = [value_at(rows, k) for k in cohort.key_paths]
+    return rows.where(all_of(tests + [k[0].isNotNull() if k else F.lit(False) for k in keys]))
 
 
 def ranked(rows: DataFrame, profile: Profile, cohort: Cohort, name: str = "rank") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import PSEUDONYM_PREFIX, count_bucket, hmac_sha256, media_type, public_hash
 from ..plans.policy import Profile, Rule, pads
@@ -49,29 +50,75 @@ def rule_keys(profile: Profile, rules: list[Rule]) -> dict[str, bytes]:
     return {r.id: profile.rule_key(r) for r in rules if r.action == "pseudonymize"}
 
 
+def value_at(rows: DataFrame, path: str) -> tuple[Column, T.DataType] | None:
+    """The value at a path and its type: a column by its whole name, or steps through structs and maps.
+
+    None where no row can have it: no such column, or no such field in a struct. A
+    path through anything else is refused.
+    """
+    if path in rows.columns:
+        return rows[path], rows.schema[path].dataType
+    first, *steps = path.split(".")
+    if first not in rows.columns:
+        return None
+    value, kind = rows[first], rows.schema[first].dataType
+    for step in steps:
+        if isinstance(kind, T.StructType):
+            if step not in kind.names:
+                return None
+            value, kind = value[step], kind[step].dataType
+        elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            value, kind = value[step], kind.valueType
+        else:
+            raise TypeError(f"{path} cannot be walked: {step} is looked for in {kind.simpleString()}")
+    return value, kind
+
+
+def _changed(value: Column, kind: T.DataType, steps: list[str], rule: Rule) -> Column:
+    """A struct or map with the rule applied at the steps below it."""
+    name, rest = steps[0], steps[1:]
+    if isinstance(kind, T.StructType):
+        if name not in kind.names:
+            return value
+        if not rest and rule.action == "omit":
+            return value.dropFields(name) if len(kind.names) > 1 else F.lit(None).cast("struct<>")
+        inner = _changed(value[name], kind[name].dataType, rest, rule) if rest else action(rule, value[name])
+        return value.withField(name, inner)
+    if not rest and rule.action == "omit":
+        return F.map_filter(value, lambda k, v: k != name)
+    inner = (lambda v: _changed(v, kind.valueType, rest, rule)) if rest else (lambda v: action(rule, v))
+    return F.transform_values(value, lambda k, v: F.when(k == name, inner(v)).otherwise(v))
+
+
 def govern_attributes(rows: DataFrame, profile: Profile, resource: str) -> DataFrame:
-    """Apply a resource's attribute rules, in order, to flat columns.
+    """Apply a resource's attribute rules, in order, to columns and to paths through structs and maps.
 
-    A rule on a column that is no string (or binary) is refused before anything
-    runs, but for omit, which needs a scalar.
+    A rule whose path leads through anything else, or to a value that is no string
+    (or binary, outside a map), is refused before anything runs, but for omit, which
+    needs a scalar. A path that no row can have meets nothing.
     """
     rules = [r for r in profile.rules if r.resource == resource and r.kind == "attribute"]
-    types = dict(rows.dtypes)
     for r in rules:
-        kind = types.get(r.path)
-        if kind and (kind.startswith(("array", "map", "struct", "variant")) or r.action != "omit" and kind not in ("string", "binary")):
-            raise TypeError(f"rule {r.id} cannot change {r.path}, which is {kind}")
+        if found := value_at(rows, r.path):
+            kind = found[1].simpleString()
+            within_map = r.path not in rows.columns and isinstance(value_at(rows, r.path.rpartition(".")[0])[1], T.MapType)
+            if kind.startswith(("array", "map", "struct", "variant")) or r.action != "omit" and kind not in ("string", "binary")[: 1 if within_map else 2]:
+                raise TypeError(f"rule {r.id} cannot change {r.path}, which is {kind}")
     out = with_keys(rows, rule_keys(profile, rules))
     for r in rules:
         if r.path in out.columns:
-            out = out.drop(r.path) if r.action == "omit" else out.withColumn(r.path, action(r, F.col(r.path)))
+            out = out.drop(r.path) if r.action == "omit" else out.withColumn(r.path, action(r, F.col(f"`{r.path}`")))
+        elif value_at(out, r.path):
+            first, *steps = r.path.split(".")
+            out = out.withColumn(first, _changed(F.col(f"`{first}`"), out.schema[first].dataType, steps, r))
     return out.drop(*[c for c in out.columns if c.startswith(("_i_", "_o_"))])
 
 
 def rule_counts(rows: DataFrame, profile: Profile, resource: str) -> DataFrame:
     """rule_id, affected, bucket: each rule of a resource, those that met nothing too."""
     rules = [r for r in profile.rules if r.resource == resource]
-    present = [F.count(r.path).alias(r.id) if r.path in rows.columns else F.lit(0).cast("bigint").alias(r.id) for r in rules]
+    found = {r.id: value_at(rows, r.path) for r in rules}
+    present = [F.count(at[0]).alias(i) if at else F.lit(0).cast("bigint").alias(i) for i, at in found.items()]
     counts = rows.agg(*present)
     pairs = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(r.id).alias("affected")) for r in rules])
     return counts.select(F.explode(pairs).alias("r")).select("r.rule_id", "r.affected").withColumn("bucket", count_bucket(F.col("affected")))

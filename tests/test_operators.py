@@ -301,3 +301,25 @@ def test_packs_are_streamed_and_not_gathered(spark):
     kind = lambda p: "inventory_unproven" if p is None else "inventory"
     assert {r["pack"]: (r["kind"], r["digest"], r["records"], r["bytes"]) for r in found.collect()} == {p: (kind(p), d, 300, sum(range(300))) for p, d in want.items()}
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_rules_reach_nested_paths_or_are_refused(spark):
+    from lodestone.plans.policy import Cohort, Profile, Rule
+
+    rows = spark.createDataFrame([(1, ("a@b.c", 5), {"email": "a@b.c", "x": "y"}, '{"email": "a@b.c"}'), (2, None, None, None)], "id long, profile struct<email:string,age:int>, tags map<string,string>, raw string")
+
+    def governed(path, what="hash"):
+        return govern.govern_attributes(rows, Profile("p", (Rule("r", "s", "t", "attribute", path, what, replacement="z"),)), "t")
+
+    for path in ("profile.email", "tags.email"):
+        assert "a@b.c" not in str(governed(path).select(path.split(".")[0]).collect())
+        assert "a@b.c" not in str(governed(path, "omit").select(path.split(".")[0]).collect())
+    assert governed("profile.email").where("id = 2").first()["profile"] is None
+    assert governed("profile.nothing").collect() == rows.collect()
+    for path, what in (("raw.email", "hash"), ("profile.age", "hash"), ("profile", "omit"), ("profile.email.x", "omit")):
+        with pytest.raises(TypeError):
+            governed(path, what)
+    met = lambda *predicates: [r["id"] for r in cohort.eligible(rows, Cohort("t", "k", ("id",), 1, predicates=predicates)).collect()]
+    assert met(("profile.email", "a@b.c"), ("profile.age", 5), ("tags.x", "y")) == [1] and met(("profile.none", 1)) == []
+    with pytest.raises(TypeError):
+        met(("raw.email", "a@b.c"))
