@@ -396,13 +396,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, part: int = PART, bits
     half = (length - length // 4) // 2
 
     def looked_up(items: DataFrame) -> DataFrame:
-        # As many items as the row has runs, at most.
-        return rows.join(items.groupBy("key").agg(F.collect_set("item").alias("items")), "key").select("key", "text", "items")
+        # As many items as the row has runs, at most. They are written, so that the shuffles that chose them are gone before texts travel.
+        of = written(items.groupBy("key").agg(F.collect_set("item").alias("items")), "items")
+        freed(rows.sparkSession)
+        return rows.join(of, "key").select("key", "text", "items")
 
     def settled(items: DataFrame) -> DataFrame:
         pieces = looked_up(items).mapInArrow(_fetch(length), "kind int, grp long, more boolean, part int, once boolean, first long, key binary, bytes binary")
         dealt = pieces.repartition("kind", "grp", "part").sortWithinPartitions("kind", "grp", "part")
-        return written(dealt.mapInArrow(_settle(length, bits), _SETTLED), "settled")
+        told = written(dealt.mapInArrow(_settle(length, bits), _SETTLED), "settled")
+        freed(rows.sparkSession)
+        return told
 
     def confirmed(items: DataFrame) -> list[DataFrame]:
         """Sort items and, of groups in several parts, one of each content again, until each group was in one part.
@@ -447,7 +451,6 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, part: int = PART, bits
     partial = _items(members, WINDOWS, "grp", f"_m > {part}", f"pmod(xxhash64(key, pos), 1 + _m div {part})", "once", lo, f"{hi} - {lo} + 1").where("item.n > 0")
 
     done = confirmed(whole.unionAll(partial))
-    freed(rows.sparkSession)
     odd = functools.reduce(DataFrame.unionAll, [d.where(F.col("what") == ODD).select("key", F.col("lo").alias("_lo")) for d in done])
     left = done[0].where(F.col("what") == LEFT).select("grp", "once", "key", "lo")
     if left.limit(1).count():
