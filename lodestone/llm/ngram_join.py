@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mixed, shingles
-from .shared import row_name, spread_join, written
+from .shared import freed, row_name, spread_join, written
 
 PERCENT = 80
 CHUNK_BYTES = 4 << 20
@@ -478,33 +478,40 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     null or repeat, so components can share a ``component_id``. Null for empty sets.
     """
     spark = docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table; the shuffle files it was made from go at once."""
+        table = written(df, name)
+        freed(spark)
+        return table
+
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_name(F.col(key), F.col(text)).alias("row"))
     profile = written(rows.select("doc_id", "text", "row").mapInArrow(_profile, "doc_id long, row binary, n_shingles long, node long, shape binary"), "shingle-profile")
     total = profile.where("node IS NOT NULL").agg(F.sum("n_shingles")).first()[0] or 0
     # About 0.8 signatures of 5 bytes a shingle.
     buckets = max(2 * spark.sparkContext.defaultParallelism, int(total * 4 // BUCKET_BYTES) + 1)
     signed = rows.where(F.col("text").isNotNull()).select("text").mapInArrow(_sign(buckets, percent), _SIGNED)
-    found = written(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group, _GROUPS), "signature-groups")
+    found = kept(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group, _GROUPS), "signature-groups")
     # Sets that share one signature share many, in many buckets: each group stays in one of its buckets.
     named = found.select("bucket", "names").mapInArrow(_names, "bucket int, name long, more long")
     one = named.groupBy("name", "more").agg(F.min_by("bucket", F.xxhash64("bucket", "name")).alias("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("name", "more")).alias("stay"))
-    groups = written(found.join(one, "bucket").select("bucket", "nodes", "members", "ends", "names", "stay").mapInArrow(_kept, "bucket int, nodes binary, members binary, ends binary"), "groups-once")
+    groups = kept(found.join(one, "bucket").select("bucket", "nodes", "members", "ends", "names", "stay").mapInArrow(_kept, "bucket int, nodes binary, members binary, ends binary"), "groups-once")
 
     placed = written(groups.select("bucket", "nodes").mapInArrow(_nodes, "bucket int, node long"), "group-nodes")
     active = placed.select("node").distinct()
-    facts = written(profile.join(active, "node").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("shape").alias("shape")), "active-nodes")
+    facts = kept(profile.join(active, "node").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("shape").alias("shape")), "active-nodes")
     shown = facts.select("node", "row")
     chosen = rows.select("row", "text").join(shown, "row").select("node", "text").dropDuplicates(["node"])
-    texts = written(chosen.mapInArrow(_with_fine, "node long, text string, fine binary"), "active-texts")
+    texts = kept(chosen.mapInArrow(_with_fine, "node long, text string, fine binary"), "active-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+        return kept(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
     sizes = placed.join(facts.select("node", F.struct("node", "size", "shape").alias("fact")), "node").groupBy("bucket").agg(F.collect_list("fact").alias("facts"))
-    full = written(groups.join(sizes, "bucket"), "groups")
+    full = kept(groups.join(sizes, "bucket"), "groups")
 
     def told(known: DataFrame | None, make, schema: str) -> DataFrame:
         """``make`` of the groups with what is known of their nodes by now: root, tried, fine."""
@@ -520,7 +527,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def nearest(pairs: DataFrame) -> DataFrame:
         best = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        return written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+        return kept(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
 
     tried = nearest(told(None, _firsts, "a long, b long, d long"))
     links = verified(tried)
@@ -536,10 +543,10 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
             break
         links = links.unionAll(fresh)
         roots = components(links)
-    still = written(told(roots, _open, "node long").distinct(), "open-nodes")
+    still = kept(told(roots, _open, "node long").distinct(), "open-nodes")
     known = still.join(texts.select("node", "fine"), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fine")
     rest = told(known, _left, "a long, partners array<bigint>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("p"))
-    rest = written(rest.select("a", F.explode("p").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = kept(rest.select("a", F.explode("p").alias("b")).join(tried, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         links = links.unionAll(verified(rest))
         roots = components(links)
@@ -548,5 +555,5 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rooted = per_node.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     least = rooted.where("root IS NOT NULL").groupBy("_root").agg(F.min("_least").alias("_id"))
     named = rooted.join(least, "_root", "left").where("_n > 1 OR root IS NOT NULL").select("node", "_root", F.coalesce("_id", "_least").alias("_component"))
-    out = spread_join(profile.drop("shape"), written(named, "classes"), "node", "row")
+    out = spread_join(profile.drop("shape"), kept(named, "classes"), "node", "row")
     return out.select("doc_id", "row", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"), F.coalesce("_root", "node").alias("root"))
