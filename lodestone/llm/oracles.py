@@ -51,3 +51,28 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
   CASE WHEN keep IS NOT NULL AND p.page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM p LEFT JOIN k USING (payload_digest)
 """
+
+LEXICAL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), sized AS (
+  SELECT doc_id, k, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized
+), tf AS (
+  SELECT k, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT k, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL
+), df AS (
+  SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), scored AS (
+  SELECT item_id, k, doc_id, sum(floor(1000.0::DOUBLE * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT *
+    ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), whole GROUP BY item_id, k, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, k) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""

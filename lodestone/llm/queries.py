@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, bpe_codec, domain_mixing, language_id, merkle_fingerprints, ngram_join, oracles, stratified_shards, suffix_dedup, token_counts, warc_archive
+from . import bm25_search, bpe_codec, domain_mixing, language_id, lexical_rank, merkle_fingerprints, ngram_join, oracles, stratified_shards, suffix_dedup, token_counts, warc_archive
 from .shared import table
 
 
@@ -72,7 +72,12 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_rank.postings(table(spark, sf_dir, "documents"))
+    return lexical_rank.search(index, table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bm25_top_k, op2_suffix_dedup, op3_domain_mixing, op4_warc_normalise, op5_ngram_jaccard_join, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec)
+    f.__name__: f for f in (op1_bm25_top_k, op2_suffix_dedup, op3_domain_mixing, op4_warc_normalise, op5_ngram_jaccard_join, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec, op13_lexical_rank)
 }
-ORACLE_SQL: dict[str, str] = {"op4_warc_normalise": oracles.WARC, "op8_merkle_fingerprints": oracles.MERKLE}
+ORACLE_SQL: dict[str, str] = {"op4_warc_normalise": oracles.WARC, "op8_merkle_fingerprints": oracles.MERKLE, "op13_lexical_rank": oracles.LEXICAL}
