@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, bpe_codec, domain_mixing, language_id, lexical_rank, merkle_fingerprints, ngram_join, oracles, periodic_runs, stratified_shards, suffix_dedup, token_counts, warc_archive
+from . import bm25_search, bpe_codec, domain_mixing, language_id, lexical_rank, merkle_fingerprints, ngram_join, oracles, periodic_runs, secret_scan, stratified_shards, suffix_dedup, token_counts, warc_archive
 from .shared import table
 
 
@@ -72,6 +72,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find(periodic_runs.planted(table(spark, sf_dir, "documents"))))
 
@@ -82,6 +86,6 @@ def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bm25_top_k, op2_suffix_dedup, op3_domain_mixing, op4_warc_normalise, op5_ngram_jaccard_join, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec, op12_periodic_runs, op13_lexical_rank)
+    f.__name__: f for f in (op1_bm25_top_k, op2_suffix_dedup, op3_domain_mixing, op4_warc_normalise, op5_ngram_jaccard_join, op6_stratified_interleave, op7_language_id, op8_merkle_fingerprints, op9_token_counts, op10_bpe_codec, op11_secret_scan, op12_periodic_runs, op13_lexical_rank)
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc_normalise": oracles.WARC, "op8_merkle_fingerprints": oracles.MERKLE, "op13_lexical_rank": oracles.LEXICAL}
