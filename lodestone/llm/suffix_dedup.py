@@ -484,8 +484,12 @@ def _spans_of(column: pa.Array, length: int) -> Iterator[list[tuple[int, int]]]:
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``rows`` without key, with the array ``spans`` last."""
-    per = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    """``rows`` without key, with the array ``spans`` last.
+
+    Rows equal in id and text have one key, and each brought the same spans: they
+    are gathered once a key.
+    """
+    per = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return rows.join(per, "key", "left").drop("key")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import suffix_dedup as sd
 
@@ -112,3 +113,13 @@ def test_stretches_of_few_words_stay(spark):
     docs = spark.createDataFrame([(k, f"{k} {few} {k} {many}{k}") for k in range(3)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in sd.deduplicated(docs, words=51).collect()}
     assert all(few in t and "word word" not in t for t in got.values())
+
+
+def test_rows_equal_in_id_and_text_bring_their_spans_once(spark):
+    text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(900))
+    frame = spark.createDataFrame([(7, text)] * 2000 + [(8, "short")], "doc_id long, text string").repartition(4)
+    rows = frame.select(sd.row_name(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    held = sd.with_spans(rows, sd.repeated_spans(rows)).selectExpr("sum(coalesce(size(spans), 0)) n").first()["n"]
+    assert held <= 10 * 2000  # a few a row, whatever the number of rows
+    got = sd.digests(frame).where("doc_id = 7").select("n_bytes", "n_removed", "n_spans").distinct().collect()
+    assert [tuple(r) for r in got] == [(900, 900, 1)]
