@@ -10,7 +10,9 @@ second by less than ``margin`` (a share of the second's size) is rejected.
 The dictionaries come from a bounded sample: of each language the training
 documents with the smallest hash, at most ``SAMPLE_DOCS``, whole texts each, as
 many as fit into ``DICT_BYTES`` in that order (one that does not fit is passed
-over). Only the dictionaries travel to the tasks.
+over). Of a language whose texts are all longer than that, the text with the
+smallest hash teaches by its first ``DICT_BYTES // 4`` characters. Only the
+dictionaries travel to the tasks; more than ``MOST_LANGUAGES`` labels are refused.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0
 and rejected; very long texts are judged whole, block by block; equal sizes go to
@@ -33,6 +35,7 @@ from pyspark.sql import types as T
 
 SAMPLE_DOCS = 200
 DICT_BYTES = 110 << 10
+MOST_LANGUAGES = 500
 BLOCK = 2048
 LEVEL = 6
 MARGIN = 0.01
@@ -57,9 +60,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_key").isNotNull() & ~held_out(F.col("_key")))
     draw = F.xxhash64(F.lit(5), "_key")
     # Most rows are passed over by their hash before any is ranked, so no task ranks a whole language.
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: clean the labels first")
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 4.0 * SAMPLE_DOCS / n))])
     drawn = rows.where(F.pmod(draw, F.lit(1 << 30)) < F.element_at(share, F.col("_lang")) * float(1 << 30))
     order = Window.partitionBy("_lang").orderBy(draw, "_key", "_bytes")
@@ -70,13 +75,16 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         if r["_bytes"] + 1 <= room[r["_lang"]]:
             room[r["_lang"]] -= r["_bytes"] + 1
             fitting.append((r["_key"], r["_lang"], r["_bytes"], r["_rn"]))
-    if not fitting:
-        return {}
+    parts: dict[str, list[bytes]] = {}
+    if untaught := sorted(set(counts) - {lang for _, lang, _, _ in fitting}):
+        # At most DICT_BYTES of each.
+        long = rows.where(F.col("_lang").isin(untaught) & (F.octet_length("_text") > 0))
+        first = long.groupBy("_lang").agg(F.min(F.struct(draw.alias("draw"), "_key", F.left("_text", F.lit(DICT_BYTES // 4)).alias("part"))).alias("first"))
+        parts = {r["_lang"]: [fold(r["part"])] for r in first.select("_lang", "first.part").collect()}
     schema = T.StructType([drawn.schema["_key"]]).add("_lang", "string").add("_bytes", "integer").add("_rn", "integer")
     chosen = docs.sparkSession.createDataFrame(fitting, schema)
     # At most DICT_BYTES a language; of rows with one key and size the smallest text.
     sample = drawn.withColumn("_bytes", F.octet_length("_text")).join(F.broadcast(chosen), ["_key", "_lang", "_bytes"]).groupBy("_lang", "_rn").agg(F.min("_text").alias("_text"))
-    parts: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["_lang"], r["_rn"])):
         parts.setdefault(row["_lang"], []).append(fold(row["_text"]))
     return {name: b" ".join(p) for name, p in parts.items() if any(p)}

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from lodestone.llm import language_id as li
 from lodestone.llm import queries
 
@@ -70,3 +72,18 @@ def test_edges(spark):
     none = spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string")
     assert li.learn(none) == {} and li.identify(none, {}).first()["lang_pred"] == "und"
     assert li.identify(none.limit(0), dictionaries).count() == 0
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    en, fr = "the cat and the dog of the house ", "le chat et le chien de la maison "
+    rows = [(k, en * 20, "en") for k in range(30)] + [(100 + k, fr * 8000, "fr") for k in range(6)]
+    known = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(known) == {"en", "fr"} and 0 < len(known["fr"]) <= li.DICT_BYTES
+    told = li.identify(spark.createDataFrame([(1, fr * 5), (2, en * 5)], "doc_id long, text string"), known).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in told} == {1: "fr", 2: "en"}
+
+
+def test_dirty_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 5)
+    with pytest.raises(ValueError):
+        li.learn(spark.createDataFrame([(k, "some text", f"l{k}") for k in range(40)], "doc_id long, text string, lang string"))
