@@ -81,10 +81,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """The 0-based places of the paragraphs of ``b`` that ``a`` does not have."""
-    hashes = lambda fp: F.transform(F.split(F.element_at(F.split(fp, "\\."), 3), ","), lambda p: F.substring(p, 1, NODE_HEX))
-    places = F.transform(hashes(b), lambda p, k: F.when(~F.array_contains(hashes(a), p), k))
-    return F.when(F.substring(a, 1, ROOT_HEX) == F.substring(b, 1, ROOT_HEX), F.array().cast("array<int>")).otherwise(F.array_compact(places))
+    """The 0-based places of the paragraphs of ``b`` that ``a`` does not have.
+
+    Only sections of ``b`` that ``a`` does not have are opened.
+    """
+    level = lambda fp, k: F.split(F.element_at(F.split(fp, "\\."), k), ",")
+    hashes = lambda nodes: F.transform(nodes, lambda p: F.substring(p, 1, NODE_HEX))
+    # One element, so that each list is made once.
+    both = F.array(F.struct(hashes(level(a, 2)).alias("sa"), level(b, 2).alias("sb"), hashes(level(a, 3)).alias("pa"), hashes(level(b, 3)).alias("pb")))
+    is_new = lambda x, s: ~F.array_contains(x["sa"], F.substring(s, 1, NODE_HEX))
+    n_paragraphs = lambda s: F.substring(s, NODE_HEX + 2, 12).cast("int")
+    opened = F.transform(both, lambda x: F.struct(x["pa"].alias("pa"), x["pb"].alias("pb"), F.flatten(F.transform(x["sb"], lambda s: F.array_repeat(is_new(x, s), n_paragraphs(s)))).alias("open")))
+    candidates = lambda x: F.filter(x["pb"], lambda p, k: F.get(x["open"], k))
+    missing = F.transform(opened, lambda x: F.struct(x["pb"].alias("pb"), x["open"].alias("open"), F.array_except(candidates(x), x["pa"]).alias("new")))
+    places = F.transform(missing, lambda x: F.array_compact(F.transform(x["pb"], lambda p, k: F.when(F.get(x["open"], k) & F.array_contains(x["new"], p), k))))[0]
+    return F.when(F.substring(a, 1, ROOT_HEX) == F.substring(b, 1, ROOT_HEX), F.array().cast("array<int>")).otherwise(places)
 
 
 def edited_text(text: Column, donor: Column) -> Column:

@@ -54,3 +54,17 @@ def test_edges(spark):
     assert mf.compare_with_next(docs.limit(0)).count() == 0
     alone = mf.compare_with_next(docs.where("doc_id = 3")).first()
     assert alone["near_next"] == 1
+
+
+def test_only_differing_sections_are_opened(spark):
+    sections = [[f"line {s} {k} says {(s * k) % 7}." for k in range(1 + s % 5)] for s in range(40)]
+    base = "\n\n".join("\n".join(s) for s in sections)
+    sections[7][1] = "A new line."
+    sections[20] += [sections[3][0], "Another."]
+    sections[33] = []
+    changed = "\n\n".join("\n".join(s) for s in sections)
+    pairs = [(base, changed), (changed, base), ("", base), (base, ""), ("x. y\n\nz", "z\n\nx. y")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(mf.fingerprint(F.col("a")).alias("a"), mf.fingerprint(F.col("b")).alias("b"))
+    for r in rows.select("a", "b", mf.differing_paragraphs(F.col("a"), F.col("b")).alias("where")).collect():
+        own, other = ([p[:12] for p in x.split(".")[2].split(",")] for x in (r["a"], r["b"]))
+        assert r["where"] == ([] if r["a"][:32] == r["b"][:32] else [k for k, p in enumerate(other) if p not in own])
