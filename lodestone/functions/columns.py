@@ -42,6 +42,11 @@ def length_prefix(value: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw).cast("bigint")), 16, "0")), raw)
 
 
+def base64_text(value: Column) -> Column:
+    """Base64 in one line: Spark breaks lines after 76 characters."""
+    return F.regexp_replace(F.base64(value), "\\s", "")
+
+
 def escaped_json(text: Column) -> Column:
     """Canonical JSON text with <, >, & and the line separators written as escapes."""
     for char, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), (" ", "\\u2028"), (" ", "\\u2029")):
@@ -59,9 +64,9 @@ def typed(kind: str, value: Column) -> Column:
     if kind in ("SS", "NS"):
         value = F.array_sort(F.transform(value, lambda x: x.cast("string")))
     elif kind == "BS":
-        value = F.array_sort(F.transform(value, lambda x: F.base64(x)))
+        value = F.array_sort(F.transform(value, base64_text))
     elif kind == "B":
-        value = F.base64(value)
+        value = base64_text(value)
     elif kind in ("S", "N"):
         value = value.cast("string")
     return F.when(value.isNotNull(), F.struct(value.alias(kind)))

@@ -35,7 +35,7 @@ def eligible(rows: DataFrame, cohort: Cohort) -> DataFrame:
 
 def ranked(rows: DataFrame, profile: Profile, cohort: Cohort, name: str = "rank") -> DataFrame:
     """Eligible rows with their rank: a keyed digest of the length-prefixed key values, paths in order."""
-    message = F.concat(*[length_prefix(F.col(k).cast("string")) for k in sorted(cohort.key_paths)])
+    message = F.concat(*[length_prefix(value_at(rows, k)[0].cast("string")) for k in sorted(cohort.key_paths) if value_at(rows, k)])
     keyed = with_keys(eligible(rows, cohort), {"rank": profile.rank_key(cohort)})
     return keyed.withColumn(name, hmac_sha256(F.col("_i_rank"), F.col("_o_rank"), message)).drop("_i_rank", "_o_rank")
 

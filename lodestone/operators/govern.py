@@ -39,13 +39,6 @@ def action(rule: Rule, value: Column) -> Column:
     return F.concat(F.lit(PSEUDONYM_PREFIX), hmac_sha256(F.col(f"_i_{rule.id}"), F.col(f"_o_{rule.id}"), value))
 
 
-def path_value(item: str, path: str) -> Column:
-    """The string at a path through maps of a tagged JSON item; null if a step is missing or no map."""
-    steps = path.split(".")
-    at = "$" + ".M".join(f".{s}" for s in steps)
-    return F.expr(f"try_variant_get(try_parse_json({item}), '{at}.S', 'string')")
-
-
 def rule_keys(profile: Profile, rules: list[Rule]) -> dict[str, bytes]:
     return {r.id: profile.rule_key(r) for r in rules if r.action == "pseudonymize"}
 
@@ -57,16 +50,18 @@ def value_at(rows: DataFrame, path: str) -> tuple[Column, T.DataType] | None:
     path through anything else is refused.
     """
     if path in rows.columns:
-        return rows[path], rows.schema[path].dataType
+        return F.col(f"`{path}`"), rows.schema[path].dataType
     first, *steps = path.split(".")
     if first not in rows.columns:
         return None
-    value, kind = rows[first], rows.schema[first].dataType
+    value, kind = F.col(f"`{first}`"), rows.schema[first].dataType
     for step in steps:
         if isinstance(kind, T.StructType):
             if step not in kind.names:
                 return None
             value, kind = value[step], kind[step].dataType
+        elif isinstance(kind, T.VariantType):
+            raise TypeError(f"{path} leads into tagged items: see operators.items")
         elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
             value, kind = value[step], kind.valueType
         else:

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import packing
+from ..operators.scratch import folder as _folder
 from ..sources import readers, sinks
 from ..streaming.capture import capture, definition, progress_lines, readiness
 from .registry import query, table
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone
-            return
-
-    atexit.register(drop)
-    return path
-
-
 @query("SELECT event_id, event_type, props FROM events")
 def src19_ndjson_roundtrip(spark, sf_dir):
     """Items written as gzipped NDJSON chunks in key order and read back."""

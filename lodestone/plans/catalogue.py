@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import capture, comparison, governance, selection
+from . import capture, comparison, governance, selection, tagged
 from .registry import ORACLE_SQL, QUERIES
 
 flagship = governance.top1_cohort_customers
 
-__all__ = ["ORACLE_SQL", "QUERIES", "capture", "comparison", "flagship", "governance", "selection"]
+__all__ = ["ORACLE_SQL", "QUERIES", "capture", "comparison", "flagship", "governance", "selection", "tagged"]
