@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import dropped, written
+
 TRIPLE = ["service", "type", "id"]
 # The stages of a replay, in order.
 STAGES = ("base", "mutable", "links", "data")
@@ -36,27 +38,46 @@ def rewritten(rows: DataFrame, arn_map: DataFrame, column: str) -> DataFrame:
     return rows.join(to, column, "left").withColumn(column, F.coalesce("local", column)).drop("local").select(*rows.columns)
 
 
-def levels(nodes: DataFrame, edges: DataFrame, checkpoint=None) -> DataFrame:
-    """(node, level) by peeling: level 0 depends on nothing; nodes on or behind a cycle get null.
+#: Lengths stop here: only nodes behind a cycle, which get no level, come so far.
+_FAR = 1 << 40
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): level 0 depends on nothing, the others on the longest way there; nodes on or behind a cycle get null.
 
-    ``nodes``: node; ``edges``: node, needs. One round a level, each a join over
-    what is left. ``checkpoint`` cuts the lineage (default: DataFrame.checkpoint
-    where the session has a folder for it).
+    ``nodes``: node; ``edges``: node, needs. Each round settles the nodes all of whose
+    needs are settled, and lets every edge to a node with one open need jump over it,
+    taking that node's settled needs along. So a chain of n nodes takes about log2 n
+    rounds; a node of several open needs stops jumps, and a ladder of such takes a
+    round a rung. The first round that settles nothing is the last: what is left then
+    lies on or behind a cycle.
     """
-    spark = nodes.sparkSession
-    cut = checkpoint or ((lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d))
-    left, done, level = nodes.select("node").distinct(), None, 0
-    edges = edges.select("node", "needs").distinct().join(left.select(F.col("node").alias("needs")), "needs", "left_semi")
+    all_ = written(nodes.select("node").distinct(), "graph-nodes")
+    ends = all_.select(F.col("node").alias("needs"))
+    open_ = written(edges.select("node", "needs").distinct().join(ends, "needs", "left_semi").join(all_, "node", "left_semi").select("node", "needs", F.lit(1).cast("long").alias("way")), "graph-edges")
+    # What a node's settled needs come to so far; settled nodes have no open edge.
+    least = written(all_.withColumn("level", F.lit(0).cast("long")), "graph-levels")
+    settled = 0
     while True:
-        free = cut(left.join(edges.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
-        if not free.limit(1).count():
+        counts = open_.groupBy("node").agg(F.count("*").alias("n"), F.min("needs").alias("to"), F.max("way").alias("step"))
+        done = least.join(counts.select("node"), "node", "left_anti")
+        now = done.count()
+        if now == settled:
             break
-        done = free if done is None else done.unionAll(free)
-        left = cut(left.join(free.select("node"), "node", "left_anti"))
-        edges = cut(edges.join(free.select(F.col("node").alias("needs")), "needs", "left_anti"))
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionAll(stuck)
+        settled = now
+        over = counts.where("n = 1 AND to <> node").select(F.col("node").alias("needs"), "to", "step").join(least.select(F.col("node").alias("needs"), F.col("level").alias("over")), "needs")
+        told = open_.join(done.select(F.col("node").alias("needs"), F.col("level").alias("reached")), "needs", "left").join(over, "needs", "left")
+        below = F.coalesce("reached", "over")
+        onward = F.when(F.col("reached").isNull(), F.coalesce("to", "needs"))
+        told = told.select("node", onward.alias("needs"), F.least(F.col("way") + F.coalesce("step", F.lit(0)), F.lit(_FAR)).alias("way"), F.when(below.isNotNull(), F.least(F.col("way") + below, F.lit(_FAR))).alias("found"))
+        told = written(told, "graph-told")
+        gained = told.groupBy("node").agg(F.max("found").alias("found"))
+        older, open_old = least, open_
+        least = written(older.join(gained, "node", "left").select("node", F.greatest("level", F.coalesce("found", F.lit(0))).alias("level")), "graph-levels")
+        open_ = written(told.where("needs IS NOT NULL").groupBy("node", "needs").agg(F.max("way").alias("way")), "graph-edges")
+        for table in (older, open_old, told):
+            dropped(table)
+    return all_.join(done, "node", "left").select("node", F.col("level").cast("int").alias("level"))
 
 
 def in_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

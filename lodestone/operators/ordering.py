@@ -5,59 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 1024
+from .scratch import written
 
 
-def sliced(rows: DataFrame, by: str, slices: int = SLICES) -> DataFrame:
-    """Add ``_slice``: rows dealt by the approximate quantiles of a numeric column, in its order.
-
-    Only the cut points, at most ``slices`` numbers, come to the driver. Rows with
-    equal values, and nulls (first), share a slice.
-    """
-    steps = [k / slices for k in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(F.col(by).cast("double"), steps, 100 * slices).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return rows.withColumn("_slice", F.lit(0))
-    # The number of cut points at or below the value, by binary search on a literal array.
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    value = F.col(by).cast("double")
-    lo, steps_needed = F.lit(0), max(1, len(cuts).bit_length())
-    hi = F.lit(len(cuts))
-    state = F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    def halve(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = (s["lo"] < s["hi"]) & (F.element_at(points, F.least(mid + 1, F.lit(len(cuts)))) <= value)
-        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
-
-    place = F.aggregate(F.sequence(F.lit(1), F.lit(steps_needed + 1)), state, halve)["lo"]
-    return rows.withColumn("_slice", F.coalesce(place, F.lit(-1)))
-
-
-def numbered(rows: DataFrame, order: list[str], within: list[str] | None = None, name: str = "rn", total: str | None = None, running: str = "running", slices: int = SLICES) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], within: list[str] | None = None, name: str = "rn", total: str | None = None, running: str = "running", slices: int | None = None) -> DataFrame:
     """Add the row's number (from 1) in the order, and the running sum of ``total``.
 
-    ``order[0]`` must be numeric and spread; the rest breaks ties. Rows are numbered
-    inside slices, and moved up by the slices before theirs.
+    Rows are dealt into ranges of all order columns (after ``within``), sorted there, and
+    written once with their place: Spark's growing ids are the range and the place in
+    it. Counts a range move the places up to numbers, so numbers need no window and no
+    second shuffle; running sums are made inside ranges and moved up alike. Rows that
+    are equal in all order columns share a range.
     """
     within = within or []
-    rows = sliced(rows, order[0], slices)
-    inside = Window.partitionBy(*within, "_slice").orderBy(*order)
-    sums = [F.count("*").alias("_n")] + ([F.sum(total).alias("_t")] if total else [])
-    counts = rows.groupBy(*within, "_slice").agg(*sums)
-    # At most ``slices`` rows a group.
-    before = Window.partitionBy(*within).orderBy("_slice") if within else Window.orderBy("_slice")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*within, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *([F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0")] if total else []))
-    out = rows.withColumn("_rn", F.row_number().over(inside))
+    keys = [*within, "_range"]
+    by = [*within, *order]
+    dealt = rows.repartitionByRange(slices, *by) if slices else rows.repartitionByRange(*by)
+    placed = written(dealt.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    sums = [F.count("*").alias("_n"), F.min("_at").alias("_first")] + ([F.sum(total).alias("_t")] if total else [])
+    counts = placed.groupBy(*keys).agg(*sums)
+    # A row a range, or a group and range it reaches into.
+    before = (Window.partitionBy(*within).orderBy("_range") if within else Window.orderBy("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *([F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0")] if total else []))
     if total:
-        out = out.withColumn("_run", F.sum(total).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    keys = [*within, "_slice"]
-    starts = starts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_n0", *(["_t0"] if total else []))
-    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    out = out.join(starts, match)
-    out = out.withColumn(name, F.col("_n0") + F.col("_rn"))
+        inside = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumn("_run", F.sum(total).over(inside))
+    out = placed.join(starts, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    out = out.withColumn(name, F.col("_n0") + F.col("_at") - F.col("_first") + 1)
     if total:
         out = out.withColumn(running, F.col("_t0") + F.col("_run"))
-    return out.drop("_slice", "_rn", "_run", "_n0", "_t0", *[f"_k{i}" for i in range(len(keys))])
+    return out.drop("_range", "_at", "_run", "_first", "_n0", "_t0", *[f"_k{i}" for i in range(len(keys))])

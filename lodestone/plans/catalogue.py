@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bundles, capture, comparison, governance, selection, tagged
+from . import bundles, capture, comparison, governance, selection, structures, tagged
 from .registry import ORACLE_SQL, QUERIES
 
 flagship = governance.top1_cohort_customers
 
-__all__ = ["ORACLE_SQL", "QUERIES", "bundles", "capture", "comparison", "flagship", "governance", "selection", "tagged"]
+__all__ = ["ORACLE_SQL", "QUERIES", "bundles", "capture", "comparison", "flagship", "governance", "selection", "structures", "tagged"]
