@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import compare, reuse
 from ..operators.scratch import folder
 from ..sources import artifacts, files, ledger
+from ..streaming import resume
+from ..streaming.capture import definition
 from .registry import query, table
 
 CAP, OBJECTS = 20_000, 9
@@ -142,3 +144,39 @@ def snk8_materialised(spark, sf_dir):
     state = told.groupBy("unit").agg(F.coalesce(F.max("problem"), F.lit("materialised")).alias("state"))
     back = _unit(artifacts.read_packs(made, fresh, "source", with_body=False)).groupBy("unit").agg(F.sum("size").alias("body_bytes"))
     return state.join(back, "unit")
+
+
+@query(f"{_PACKS} SELECT source AS resource, part AS pack, count(*) AS records, sum(n)::BIGINT AS source_bytes, left(sha256(source), 32) || '/pack-' || printf('%06d', part) || '.tar.gz' AS path FROM c GROUP BY source, part")
+def str2_resumed_packs(spark, sf_dir):
+    """An inventory taken in two stopped runs, then packs in two: what an unstopped run makes."""
+    landing, state, root = folder(spark, "landing"), folder(spark, "resume-state"), folder(spark, "packs")
+    objects = _objects(spark, sf_dir)
+    objects.repartition(6).write.parquet(landing)
+    landed, wanted = spark.read.parquet(landing), definition("documents", {"packs": [CAP, OBJECTS]})
+    enter = lambda most: resume.take_inventory(spark, landing, objects.schema, state, wanted, "source", "key", "body", files_at_once=2, most_batches=most)
+    enter(1)
+    enter(None)
+    write = lambda most: resume.write_rest(spark, landed, root, state, wanted, "source", "key", "body", ["lang"], CAP, OBJECTS, packs_a_round=50, most_rounds=most)
+    write(1)
+    return write(None).select("resource", "pack", "records", "source_bytes", "path")
+
+
+@query(
+    """WITH d AS (SELECT source AS resource, doc_id, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), p AS (SELECT resource, (rn - 1) // 9 + 1 AS pack, count(*) AS n, sum(size) AS bytes FROM d GROUP BY ALL)
+    SELECT 'batch_gap' AS problem, 1::BIGINT AS n UNION ALL SELECT 'batch_records', 1 UNION ALL SELECT 'repeated_key', count(*) FROM d WHERE doc_id % 97 = 0 UNION ALL SELECT 'negative_size', count(*) FILTER (doc_id % 89 = 0) + count(*) FILTER (doc_id % 89 = 0 AND doc_id % 97 = 0) FROM d
+    UNION ALL SELECT 'plan_differs', count(*) FILTER (doc_id % 97 = 0 AND doc_id % 89 <> 0) + 2 * count(*) FILTER (doc_id % 89 = 0) FROM d UNION ALL SELECT 'pack_over', count(*) FROM p WHERE n > 1 AND bytes > 20000
+    UNION ALL SELECT 'done_twice', count(*) FROM p WHERE pack = 2 UNION ALL SELECT 'done_unknown', count(DISTINCT resource) FROM d UNION ALL SELECT 'done_differs', count(*) FROM p WHERE pack = 3"""
+)
+def str4_state_problems(spark, sf_dir):
+    """A resume state with faults of each kind: how often each is found."""
+    from ..operators.packing import pack
+
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("resource"), F.format_string("%012d", "doc_id").alias("key"), F.md5("text").alias("etag"), F.octet_length("text").cast("long").alias("size"), "doc_id")
+    # Batches 0, 1 and 3 are noted; of batch 3 one entry too many.
+    placed = docs.withColumn("batch", F.element_at(F.array(F.lit(0), F.lit(1), F.lit(3)), (F.col("doc_id") % 3 + 1).cast("int")).cast("long"))
+    entered = placed.unionAll(placed.where("doc_id % 97 = 0")).withColumn("size", F.when(F.col("doc_id") % 89 == 0, -1).otherwise(F.col("size")))
+    noted = entered.groupBy("batch").agg(F.count("*").alias("records")).withColumn("records", F.when(F.col("batch") == 3, F.col("records") - 1).otherwise(F.col("records")))
+    planned = pack(docs, "resource", ["key"], "size", 1 << 50, 9, carried=["etag"])
+    packs = planned.groupBy("resource", "pack").agg(F.count("*").alias("records"), F.sum("size").alias("source_bytes"))
+    written = packs.unionAll(packs.where("pack = 2")).unionAll(packs.where("pack = 1").withColumn("pack", F.lit(10**6).cast("long"))).withColumn("records", F.when(F.col("pack") == 3, 0).otherwise(F.col("records")))
+    return resume.problems(entered.drop("doc_id"), noted, planned, written, 20_000, 9)

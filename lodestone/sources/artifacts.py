@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -133,6 +133,13 @@ def write_bounded(rows: DataFrame, root: str, order: list[str], line: str, max_r
     return write_parts(held, root, "_one", order, "_text", max(max_bytes, 1), compressed).drop("_one").withColumn("truncated", F.lit(more))
 
 
+def _clean(objects: DataFrame, body: str) -> Column:
+    """Bodies as bytes, null ones empty; one with credentials fails the run."""
+    raw = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
+    suspect = has_credentials(F.decode(raw, "utf-8") if objects.schema[body].dataType == T.BinaryType() else F.col(body))
+    return F.when(suspect, F.raise_error(F.lit("an object holds credentials")).cast("binary")).otherwise(raw)
+
+
 def write_packs(objects: DataFrame, root: str, resource: str, key: str, body: str, described: list[str] | None = None, max_bytes: int = PACK_BYTES, max_objects: int = PACK_OBJECTS) -> DataFrame:
     """Write objects as tar.gz packs in key order, each with an index of one JSON line an object.
 
@@ -141,13 +148,18 @@ def write_packs(objects: DataFrame, root: str, resource: str, key: str, body: st
     records, source_bytes, and of the pack and its index path, size, sha256
     (``index_``...).
     """
+    described = described or []
+    sized = objects.select(resource, F.col(key).cast("string").alias("_key"), F.col(body).alias("_body"), F.coalesce(F.octet_length(body), F.lit(0)).cast("bigint").alias("_bytes"), F.struct(*described).alias("_of") if described else F.lit(None).alias("_of"))
+    packed = pack(sized, resource, ["_key"], "_bytes", max_bytes, max_objects, name="_pack", carried=["_body", "_of"])
+    named = packed.select(resource, "_pack", "_key", "_body", *[F.col("_of")[c].alias(c) for c in described])
+    return write_packed(named, root, resource, "_pack", "_key", "_body", described)
+
+
+def write_packed(objects: DataFrame, root: str, resource: str, number: str, key: str, body: str, described: list[str] | None = None) -> DataFrame:
+    """As ``write_packs``, of objects whose packs are numbered already."""
     root, described = root.rstrip("/"), described or []
-    raw = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
     told = F.to_json(F.struct(*[F.col(c) for c in described])) if described else F.lit("{}")
-    suspect = has_credentials(F.decode(raw, "utf-8") if objects.schema[body].dataType == T.BinaryType() else F.col(body))
-    clean = F.when(suspect, F.raise_error(F.lit("an object holds credentials")).cast("binary")).otherwise(raw)
-    sized = objects.select(resource, F.col(key).cast("string").alias("_key"), clean.alias("_body"), told.alias("_told")).withColumn("_bytes", F.octet_length("_body").cast("bigint"))
-    packed = _named(pack(sized, resource, ["_key"], "_bytes", max_bytes, max_objects, name="_pack", carried=["_body", "_told"]), resource)
+    packed = _named(objects.select(resource, F.col(number).cast("bigint").alias("_pack"), F.col(key).cast("string").alias("_key"), _clean(objects, body).alias("_body"), told.alias("_told")), resource)
     member = object_name(F.coalesce(F.col(resource).cast("string"), F.lit("")), F.col("_key"))
     members = packed.repartition(resource, "_pack").sortWithinPartitions(resource, "_pack", "_key").select(resource, "_pack", "_base", "_key", member.alias("_name"), "_body", "_told")
 
