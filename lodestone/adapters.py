@@ -52,6 +52,10 @@ class Adapter(ABC):
     def validate(self, spark: SparkSession, options: Options) -> list[tuple[str, str, str]]:
         """Findings (code, severity, resource) about a resource."""
 
+    def truncated(self, spark: SparkSession, options: Options) -> bool:
+        """Whether a bounded capture leaves rows out."""
+        return False
+
     def checks(self) -> list[tuple[str, bool, bool]]:
         """Permission probes (name, ok, blocking), where the service has any."""
         return []
@@ -103,6 +107,12 @@ class TableAdapter(Adapter):
             rows, _ = bounds.page_limit(rows, list(options.key), options.max_items)
         return govern.govern_attributes(rows, profile, options.resource) if profile else rows
 
+    def truncated(self, spark: SparkSession, options: Options) -> bool:
+        if options.mode != "bounded":
+            return False
+        _, more = bounds.page_limit(self._read(spark, options.resource).select(*options.key), list(options.key), options.max_items)
+        return more.first()["truncated"]
+
     def dependencies(self, spark: SparkSession) -> DataFrame:
         rows = [(self.service, "table", a, self.service, "table", b, f"arn:aws:tables:local:000000000000:{b}", True) for a, b in self.links]
         return spark.createDataFrame(rows, "from_service string, from_type string, from_id string, to_service string, to_type string, to_id string, to_arn string, required boolean")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .adapters import Options, Registry, preflight
 from .operators import compare as cmp
-from .operators import graph, verify
+from .operators import graph, reuse, scratch, verify
 from .plans.policy import Admission, Profile
-from .sources import readers, sinks
+from .sources import artifacts, ledger, readers, sinks
 
 SCHEMA = 3
 
@@ -62,38 +62,57 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def pull(spark: SparkSession, registry: Registry, selected: dict[str, list[Options]], profile: Profile | None, staged: str, target: str, account: str, captured_at: datetime | None = None) -> DataFrame:
+def pull(spark: SparkSession, registry: Registry, selected: dict[str, list[Options]], profile: Profile | None, staged: str, target: str, account: str, captured_at: datetime | None = None, store: str | None = None) -> DataFrame:
     """Capture, govern and install a bundle; returns its checksum index.
 
-    Rows go to part files of sorted ranges, one folder a resource. Credentials in
-    any written line fail the run before anything is installed.
+    Rows go to bounded part files in key order, one folder a resource. Credentials in
+    any line fail the run before anything is written. A bounded capture that leaves
+    rows out says so (``truncated`` of the resource). With ``store``, a ledger's
+    folder, each resource tells why it is captured anew, and the capture becomes the
+    account's generation there once the bundle is installed.
     """
     preflight(registry)
     made = plan(spark, registry, selected)
-    resources = []
+    when = captured_at or datetime.now(UTC)
+    policy = profile.identity() if profile else None
+    units, _, invalid = ledger.load(spark, store, account) if store else (None, None, None)
+    # One row a resource of the last capture.
+    before = {r["unit"]: r["definition"] for r in units.collect()} if units is not None else {}
+    resources, artifacts_ = [], None
     for service, all_ in selected.items():
         for o in all_:
             rows = registry[service].capture(spark, o, profile)
             keys = [k for k in o.key if k in rows.columns]
-            lines = rows.withColumn("_line", F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])))
-            path = f"{staged}/data/{service}/{o.resource}"
-            sinks.write_chunks(lines, path, keys or ["_line"], "_line", gzip=True)
-            verify.require_none(verify.credential_rows(spark.read.text(path), "value", "value"), "credentials_found")
-            shape = sorted(f"{n}:{t}" for n, t in rows.dtypes)
-            resources.append({"service": service, "type": "table", "id": o.resource, "definition": o.definition(profile.identity() if profile else None), "shape": shape, "records": spark.read.text(path).count()})
+            lines = scratch.written(rows.select(F.lit(o.resource).alias("_of"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])).alias("_line")), "lines")
+            verify.require_none(verify.credential_rows(lines, "_line", "_line"), "credentials_found")
+            folder = f"data/{service}/{o.resource}"
+            parts = artifacts.write_parts(lines, f"{staged}/{folder}", "_of", [f"_k{n}" for n in range(len(keys))] or ["_line"], "_line", folders=False)
+            if not parts.limit(1).count():
+                _put(spark, f"{staged}/{folder}/.empty", "")
+            own, unit = o.definition(policy), f"{service}/{o.resource}"
+            listed = parts.select(F.lit(unit).alias("unit"), F.lit("data").alias("kind"), F.concat(F.lit(f"{folder}/"), "path").alias("path"), "sha256", "size", "records")
+            artifacts_ = listed if artifacts_ is None else artifacts_.unionAll(listed)
+            told = {"service": service, "type": "table", "id": o.resource, "definition": own, "shape": sorted(f"{n}:{t}" for n, t in rows.dtypes), "records": lines.count(), "truncated": registry[service].truncated(spark, o)}
+            if store:
+                told["reason"] = reuse.table_reason(invalid == ledger.FORMAT, before.get(unit) == own, unit in before, None, None)
+            resources.append(told)
     manifest = {
         "schema_version": SCHEMA,
         "source": {"account": account},
-        "captured_at": (captured_at or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ"),
-        "policy": profile.identity() if profile else "",
+        "captured_at": when.strftime("%Y-%m-%dT%H:%M:%SZ"),
+        "policy": policy or "",
         "resources": resources,
         "operations": [r.asDict() for r in made["operations"].orderBy("operation_id").collect()],
         "findings": [r.asDict() for r in made["findings"].collect()],
     }
-    index = verify.checksums(spark, f"{staged}/data").where(~F.col("path").rlike(r"(^|/)[._]"))
-    index.select("path", "sha256", "size").coalesce(1).write.json(f"{staged}/checksums")
+    index = artifacts_.select(F.expr("substring(path, 6)").alias("path"), "sha256", "size")
+    scratch.written(index, "index").coalesce(1).write.json(f"{staged}/checksums")
     _put(spark, f"{staged}/manifest.json", json.dumps(manifest, sort_keys=True))
     sinks.install(spark, staged, target)
+    if store:
+        rows = [(f"{r['service']}/{r['id']}", r["definition"], r["records"]) for r in resources]
+        units = spark.createDataFrame(rows, "unit string, definition string, records long")
+        ledger.publish(units, artifacts_.drop("records"), target, store, account, f"{account}-{when.strftime('%Y%m%dT%H%M%S%f')}")
     return spark.read.schema("path string, sha256 string, size long").json(f"{target}/checksums")
 
 
@@ -122,7 +141,7 @@ def inspect(spark: SparkSession, target: str) -> DataFrame:
     data = spark.read.schema("path string, sha256 string, size long").json(f"{target}/checksums")
     parts = F.split("path", "/")
     files = data.select(F.element_at(parts, 1).alias("service"), F.element_at(parts, 2).alias("id"), F.element_at(parts, 3).alias("part"), "sha256")
-    datasets = files.groupBy("service", "id").agg(cmp.ordered_digest(F.substring("part", 1, 10), F.col("sha256")).alias("dataset_digest"))
+    datasets = files.groupBy("service", "id").agg(cmp.ordered_digest(F.substring("part", 1, 11), F.col("sha256")).alias("dataset_digest"))
     out = rows.select("r.service", "r.type", "r.id", F.sha2(F.array_join("r.shape", ","), 256).alias("structure_digest"), F.sha2("policy", 256).alias("governance_digest"), F.lit(True).alias("selected"), "r.records")
     operations = _listed(spark, found, "operations", {"service": "service", "id": "resource_id", "stage": "stage", "action": "action"})
     findings = _listed(spark, found, "findings", {"code": "code", "severity": "severity", "resource": "resource", "property": "property"})

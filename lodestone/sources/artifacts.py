@@ -56,9 +56,12 @@ def _committed(drafts: DataFrame, root: str, names: list[tuple[str, str]]) -> Da
     return written(drafts.mapInArrow(run, T.StructType([f for f in drafts.schema if f.name not in gone])), "descriptors")
 
 
-def write_parts(rows: DataFrame, root: str, resource: str, order: list[str], line: str, max_bytes: int = CHUNK_BYTES, compressed: bool = True, oversize: str = "alone") -> DataFrame:
+def write_parts(rows: DataFrame, root: str, resource: str, order: list[str], line: str, max_bytes: int = CHUNK_BYTES, compressed: bool = True, oversize: str = "alone", folders: bool = True) -> DataFrame:
     """Write lines as part files, a resource's in order, none over ``max_bytes`` of lines and line ends.
 
+    Each resource has a folder, or without ``folders`` all files lie in ``root``, which
+    is for one resource.
+
     One row a file: resource, part, path, records, source_bytes, size, sha256,
     media_type. A line over the bound sits alone, or with ``oversize="fail"`` is refused:
     nothing is written then. Null lines are left out.
@@ -70,6 +73,7 @@ def write_parts(rows: DataFrame, root: str, resource: str, order: list[str], lin
     if oversize == "fail" and sized.where(F.col("_bytes") > max_bytes).limit(1).count():
         raise ValueError(f"a record has more than {max_bytes} bytes")
     packed = _named(pack(sized, resource, order, "_bytes", max_bytes, name="_part", carried=["_line"]), resource)
+    packed = packed if folders else packed.withColumn("_base", F.lit(""))
     lines = packed.repartition(resource, "_part").sortWithinPartitions(resource, "_part", *order, "_bytes", "_line").select(resource, "_part", "_base", "_line")
     ending = ".ndjson.gz" if compressed else ".ndjson"
 
@@ -82,7 +86,7 @@ def write_parts(rows: DataFrame, root: str, resource: str, order: list[str], lin
             stream.close()
             who, part, base = now
             out.out.close()
-            final = f"{base}/part-{part:06d}{ending}"
+            final = f"{base}/part-{part:06d}{ending}".lstrip("/")
             done.append((who, part, f"{final}.{attempt}", final, *counts, out.size, out.sha256, GZIP if compressed else NDJSON))
 
         for batch in batches:
@@ -91,7 +95,7 @@ def write_parts(rows: DataFrame, root: str, resource: str, order: list[str], lin
                     if now is not fresh:
                         close()
                     now, counts = (who, part, base), [0, 0]
-                    out = files.Digested(files.created(f"{root}/{base}/part-{part:06d}{ending}.{attempt}"))
+                    out = files.Digested(files.created(f"{root}/" + f"{base}/part-{part:06d}{ending}.{attempt}".lstrip("/")))
                     stream = gzip.GzipFile(filename="", mode="wb", fileobj=out, mtime=0) if compressed else io.BufferedWriter(_Raw(out))
                 raw = text.encode("utf-8", "surrogatepass") + b"\n"
                 stream.write(raw)

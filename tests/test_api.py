@@ -115,3 +115,28 @@ def test_operations_and_findings_are_compared(spark, source, tmp_path):
     assert told(low, warned("error", "high")) == {"people": ("changed", ["findings"]), "visits": same}
     unlinked = adapters.TableAdapter(source.folder, source.tables)
     assert told(one, pulled(spark, unlinked, tmp_path, "unlinked")) == {"people": same, "visits": ("changed", ["operations"])}
+
+
+def test_a_bounded_pull_says_that_rows_are_missing(spark, source, tmp_path):
+    one = pulled(spark, source, tmp_path, "cut")
+    import json
+
+    manifest = json.loads(open(f"{tmp_path}/cut/manifest.json").read())
+    assert {r["id"]: r["truncated"] for r in manifest["resources"]} == {"people": False, "visits": True}
+    assert not adapters.TableAdapter(source.folder, source.tables).truncated(spark, adapters.Options("visits", ("id",), max_items=30))
+    names = sorted(os.listdir(f"{one.removeprefix('file:')}/data/tables/people"))
+    assert names == ["part-000001.ndjson.gz"]
+
+
+def test_a_pull_into_a_ledger_tells_why_it_captures_anew(spark, source, tmp_path):
+    from lodestone.sources import ledger
+
+    store, reasons = f"file:{tmp_path}/store", []
+    for k, limit in enumerate((10, 10, 11)):
+        api.pull(spark, adapters.Registry(source), selected(), profile(limit), f"file:{tmp_path}/s{k}", f"file:{tmp_path}/b{k}", "000000000001", datetime(2026, 1, 1 + k), store=store)
+        import json
+
+        reasons.append({r["id"]: r["reason"] for r in json.loads(open(f"{tmp_path}/b{k}/manifest.json").read())["resources"]})
+    assert reasons == [dict.fromkeys(("people", "visits"), w) for w in ("no_candidate", "freshness_unproven", "capture_definition_changed")]
+    units, parts, why = ledger.load(spark, store, "000000000001")
+    assert why is None and units.count() == 2 and ledger.verified(parts, store).where("problem IS NOT NULL").count() == 0
