@@ -48,6 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -448,20 +449,23 @@ def _left(groups: Groups) -> Iterator[pa.RecordBatch]:
 
 
 def _with_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts packed, as they are shuffled in each round, and their sketches."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         fine = [parities(s, FINE) for s in _shingled(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fine, pa.binary())], ["node", "text", "fine"])
+        packed = [pack(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(fine, pa.binary())], ["node", "text", "fine"])
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own, unpack = None, None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             good = []
             for k, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
                 if a != last:
-                    last, own = a, shingles(x.as_py().encode("utf-8", "surrogatepass"))
-                other = shingles(y.as_py().encode("utf-8", "surrogatepass"))
+                    last, own = a, shingles(unpack(x.as_py()))
+                other = shingles(unpack(y.as_py()))
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 good.append(100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
@@ -501,8 +505,9 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     active = placed.select("node").distinct()
     facts = kept(profile.join(active, "node").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("shape").alias("shape")), "active-nodes")
     shown = facts.select("node", "row")
-    chosen = rows.select("row", "text").join(shown, "row").select("node", "text").dropDuplicates(["node"])
-    texts = kept(chosen.mapInArrow(_with_fine, "node long, text string, fine binary"), "active-texts")
+    # One row a node was chosen, and the join has dealt the texts by it already.
+    chosen = rows.select("row", "text").join(shown, "row").dropDuplicates(["row"]).select("node", "text")
+    texts = kept(chosen.mapInArrow(_with_fine, "node long, text binary, fine binary"), "active-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
