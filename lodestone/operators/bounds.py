@@ -15,6 +15,19 @@ def compact_prefixes(prefixes: list[str]) -> list[str]:
     return out
 
 
+def compacted(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct prefixes of a column that no other one covers; null ones are left out.
+
+    A prefix is covered if one of its own beginnings is in the set as well, so each asks
+    for its beginnings by equality: a row a character, and no comparison of all pairs.
+    """
+    prefixes = rows.select(F.col(column).alias("prefix")).where("prefix IS NOT NULL").distinct()
+    shorter = F.transform(F.sequence(F.lit(0), F.char_length("prefix") - 1), lambda n: F.left("prefix", n))
+    asked = prefixes.where("prefix <> ''").select(F.col("prefix").alias("long"), F.explode(shorter).alias("prefix"))
+    covered = asked.join(prefixes, "prefix", "left_semi").select(F.col("long").alias("prefix")).distinct()
+    return prefixes.join(covered, "prefix", "left_anti").select(F.col("prefix").alias(column))
+
+
 def with_prefix(rows: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
     """Rows whose column starts with any prefix; pushed down to the scan."""
     found = F.lit(False)

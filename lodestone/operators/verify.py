@@ -12,15 +12,24 @@ from ..plans.policy import Admission, duration
 
 
 def coverage(index: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, problem): missing, unexpected, repeated and unsafe paths, and files that differ from the index."""
-    missing = index.join(files, "path", "left_anti").select("path", F.lit("missing_file").alias("problem"))
-    extra = files.join(index, "path", "left_anti").select("path", F.lit("unexpected_file").alias("problem"))
-    twice = index.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("duplicate_path").alias("problem"))
-    unsafe = index.where(~safe_path(F.col("path"))).select("path", F.lit("unsafe_path").alias("problem")).distinct()
-    both = index.select("path", F.col("sha256").alias("s"), F.col("size").alias("n")).join(files, "path")
-    size = both.where("n <> size").select("path", F.lit("size_mismatch").alias("problem"))
-    digest = both.where("n = size AND s <> sha256").select("path", F.lit("checksum_mismatch").alias("problem"))
-    return missing.unionAll(extra).unionAll(twice).unionAll(unsafe).unionAll(size).unionAll(digest).distinct()
+    """(path, problem): missing, unexpected, repeated and unsafe paths, and files that differ from the index.
+
+    Both sides meet in one shuffle by path; a path has a row or two of each.
+    """
+    side = lambda rows, mine, other: rows.select("path", F.struct("sha256", "size").alias(mine), F.lit(None).cast("struct<sha256:string,size:bigint>").alias(other)).select("path", "listed", "found")
+    of = lambda rows: rows.select("path", F.col("sha256").cast("string").alias("sha256"), F.col("size").cast("bigint").alias("size"))
+    both = side(of(index), "listed", "found").unionAll(side(of(files), "found", "listed"))
+    met = both.groupBy("path").agg(F.count("listed").alias("n"), F.count("found").alias("m"), F.collect_set("listed").alias("listed"), F.collect_set("found").alias("found"))
+    pair = lambda test: F.exists("listed", lambda a: F.exists("found", lambda b: test(a, b)))
+    told = F.array(
+        F.when(F.col("m") == 0, "missing_file"),
+        F.when(F.col("n") == 0, "unexpected_file"),
+        F.when(F.col("n") > 1, "duplicate_path"),
+        F.when((F.col("n") > 0) & ~safe_path(F.col("path")), "unsafe_path"),
+        F.when(pair(lambda a, b: a["size"] != b["size"]), "size_mismatch"),
+        F.when(pair(lambda a, b: (a["size"] == b["size"]) & (a["sha256"] != b["sha256"])), "checksum_mismatch"),
+    )
+    return met.select("path", F.explode(F.array_compact(told)).alias("problem"))
 
 
 def unlisted_artifacts(artifacts: DataFrame, index: DataFrame) -> DataFrame:

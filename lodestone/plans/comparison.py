@@ -231,6 +231,21 @@ def joi9_grouped(spark, sf_dir):
     return compare.grouped_to(regions.drop("r_regionkey"), operations, findings).select("id", "operations_digest", "findings_digest")
 
 
+@query(
+    """WITH f AS (SELECT r_name AS id, 'C' || s_suppkey % 5 AS code, CASE WHEN s_suppkey % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, s_name AS property FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 1)
+    SELECT r_name AS id, coalesce(d, '') AS findings_digest, o AS operations_digest FROM region LEFT JOIN (SELECT id, sha256(string_agg(code || chr(0) || severity || chr(0) || property, '' ORDER BY code || chr(0) || property, severity)) AS d FROM f GROUP BY 1) ON id = r_name
+    JOIN (SELECT n_regionkey, sha256(string_agg(n_name || chr(0) || 'apply', '' ORDER BY n_name)) AS o FROM nation GROUP BY 1) ON n_regionkey = r_regionkey"""
+)
+def joi9_findings_grouped(spark, sf_dir):
+    """Digests of the operations and findings of each resource; a resource may have none."""
+    regions = table(spark, sf_dir, "region").select(F.lit("geo").alias("service"), F.col("r_name").alias("id"), "r_regionkey")
+    nations = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    operations = nations.select("service", F.col("id").alias("resource_id"), F.col("n_name").alias("stage"), F.lit("apply").alias("action"))
+    suppliers = table(spark, sf_dir, "supplier").join(nations.where("r_regionkey <> 1"), F.col("s_nationkey") == F.col("n_nationkey"))
+    findings = suppliers.select(F.concat(F.lit("C"), (F.col("s_suppkey") % 5).cast("string")).alias("code"), F.when(F.col("s_suppkey") % 2 == 0, "error").otherwise("warning").alias("severity"), F.col("id").alias("resource"), F.col("s_name").alias("property"))
+    return compare.grouped_to(regions.drop("r_regionkey"), operations, findings).select("id", "operations_digest", "findings_digest")
+
+
 @query("SELECT c_custkey, coalesce(n, 0) AS snapshots FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def joi10_snapshots(spark, sf_dir):
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))

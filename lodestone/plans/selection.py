@@ -18,12 +18,11 @@ def flt4_prefix(spark, sf_dir):
     return bounds.with_prefix(table(spark, sf_dir, "pages").select("page_id", "url"), "url", PREFIXES)
 
 
-@query(
-    """WITH p AS (SELECT DISTINCT unnest(['http://m', 'https://', 'https://m.', 'http://w', 'https://m.']) AS prefix)
-    SELECT prefix FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.prefix <> b.prefix AND starts_with(a.prefix, b.prefix))"""
-)
+@query("WITH p AS (SELECT DISTINCT left(url, 9 + page_id % 30) AS prefix FROM pages) SELECT prefix FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.prefix <> b.prefix AND starts_with(a.prefix, b.prefix))")
 def flt5_prefix_compaction(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in bounds.compact_prefixes(PREFIXES)], "prefix string")
+    """Of prefixes of all pages' addresses those that no other one covers."""
+    prefixes = table(spark, sf_dir, "pages").select(F.expr("left(url, cast(9 + page_id % 30 AS int))").alias("prefix"))
+    return bounds.compacted(prefixes, "prefix")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89) AND n_regionkey = 1")
@@ -100,6 +99,17 @@ def flt15_log_group(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", C.same_log_group(arn, F.concat(arn, F.lit(":*"))).alias("same"))
 
 
+@query(
+    """SELECT s_suppkey, regexp_replace(a, ':\\*$', '') = regexp_replace(b, ':\\*$', '') AS same FROM (SELECT s_suppkey, 'arn:aws:logs:r:1:log-group:' || s_name AS a,
+    CASE s_suppkey % 5 WHEN 0 THEN 'arn:aws:logs:r:1:log-group:' || s_name || ':*' WHEN 1 THEN 'arn:aws:logs:r:1:log-group:' || s_name WHEN 2 THEN 'arn:aws:logs:r:1:log-group:' || s_name || ':*:*' WHEN 3 THEN 'arn:aws:logs:r:1:log-group:' || s_nationkey || ':*' ELSE 'arn:aws:logs:r:1:*:' || s_name END AS b FROM supplier)"""
+)
+def flt15_log_group_pairs(spark, sf_dir):
+    """Names of log groups that are the same but for one trailing mark, and such that are not."""
+    own, k = F.concat(F.lit("arn:aws:logs:r:1:log-group:"), F.col("s_name")), F.col("s_suppkey") % 5
+    other = F.when(k == 0, F.concat(own, F.lit(":*"))).when(k == 1, own).when(k == 2, F.concat(own, F.lit(":*:*"))).when(k == 3, F.concat(F.lit("arn:aws:logs:r:1:log-group:"), F.col("s_nationkey").cast("string"), F.lit(":*"))).otherwise(F.concat(F.lit("arn:aws:logs:r:1:*:"), F.col("s_name")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", C.same_log_group(own, other).alias("same"))
+
+
 @query(
     """SELECT doc_id, n AS size, running FROM (SELECT doc_id, n, (sum(n) OVER (ORDER BY doc_id))::BIGINT AS running, row_number() OVER (ORDER BY doc_id) AS rn
     FROM (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents) WHERE n <= 8000) WHERE rn <= 300 AND running <= 400000"""

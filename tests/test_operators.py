@@ -323,3 +323,29 @@ def test_rules_reach_nested_paths_or_are_refused(spark):
     assert met(("profile.email", "a@b.c"), ("profile.age", 5), ("tags.x", "y")) == [1] and met(("profile.none", 1)) == []
     with pytest.raises(TypeError):
         met(("raw.email", "a@b.c"))
+
+
+def test_prefixes_that_no_other_covers(spark):
+    import random
+
+    r = random.Random(6)
+    prefixes = ["".join(r.choice("ab/é") for _ in range(r.randint(0 if k == 99 else 1, 7))) for k in range(60)]
+    for some in (prefixes, [*prefixes, ""], [], ["a", "a", None]):
+        rows = spark.createDataFrame([(p,) for p in some], "p string")
+        assert sorted(x["p"] for x in bounds.compacted(rows, "p").collect()) == bounds.compact_prefixes([p for p in some if p is not None])
+
+
+def test_coverage_against_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    row = lambda: (f"{r.choice(['a', 'b', '../c'])}/{r.randrange(40)}", r.choice("xy"), r.randrange(2))
+    index, files = [row() for _ in range(60)], [row() for _ in range(50)]
+    want = set()
+    for p in {p for p, _, _ in index + files}:
+        a, b = [x[1:] for x in index if x[0] == p], [x[1:] for x in files if x[0] == p]
+        tests = {"missing_file": not b, "unexpected_file": not a, "duplicate_path": len(a) > 1, "unsafe_path": bool(a) and ".." in p, "size_mismatch": any(x[1] != y[1] for x in a for y in b), "checksum_mismatch": any(x[1] == y[1] and x[0] != y[0] for x in a for y in b)}
+        want |= {(p, name) for name, found in tests.items() if found}
+    schema = "path string, sha256 string, size long"
+    got = verify.coverage(spark.createDataFrame(index, schema), spark.createDataFrame(files, schema)).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
