@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, reuse
 from ..operators.scratch import folder
-from ..sources import artifacts, files, ledger
+from ..sources import archives, artifacts, files, ledger
 from ..streaming import resume
 from ..streaming.capture import definition
 from .registry import query, table
@@ -180,3 +180,13 @@ def str4_state_problems(spark, sf_dir):
     packs = planned.groupBy("resource", "pack").agg(F.count("*").alias("records"), F.sum("size").alias("source_bytes"))
     written = packs.unionAll(packs.where("pack = 2")).unionAll(packs.where("pack = 1").withColumn("pack", F.lit(10**6).cast("long"))).withColumn("records", F.when(F.col("pack") == 3, 0).otherwise(F.col("records")))
     return resume.problems(entered.drop("doc_id"), noted, planned, written, 20_000, 9)
+
+
+@query(f"{_PARTS} SELECT left(sha256(source), 32) || '/part-' || printf('%06d', part) || '.ndjson' AS path, sum(n)::BIGINT AS size, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256 FROM c GROUP BY source, part")
+def snk6_archive_roundtrip(spark, sf_dir):
+    """Part files put into one archive and taken out of it: every file as its descriptor says."""
+    root, fresh = folder(spark, "parts"), folder(spark, "unpacked")
+    made = artifacts.write_parts(_lines(spark, sf_dir), root, "source", ["doc_id"], "line", 2000, compressed=False)
+    archive = f"{folder(spark, 'archive')}/bundle.tar.gz"
+    archives.write_archive(made, root, archive)
+    return archives.read_archive(spark, archive, made, fresh)

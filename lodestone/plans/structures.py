@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import structure
+from ..sources import readers
 from .registry import query, table
 
 
@@ -86,3 +87,51 @@ def flt19_account_pin(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", account.alias("account"))
     let = structure.pinned(rows.where("account IS NOT NULL AND s_suppkey % 7 = 0"), "account", "123456789012")
     return let.unionAll(structure.mismatches(rows, "account", "123456789012"))
+
+
+def _listed(name, fields):
+    """A list of structs as text, an absent one as an empty list."""
+    return F.coalesce(F.to_json(F.transform(name, lambda x: F.struct(*[x[f].alias(f) for f in fields]))), F.lit("[]"))
+
+
+@query(
+    """SELECT n_name, coalesce(a, '[]') AS aliases, coalesce(m, '[]') AS mappings FROM nation
+    LEFT JOIN (SELECT s_nationkey, '[' || string_agg('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}', ',' ORDER BY s_suppkey) || ']' AS a FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1) ON s_nationkey = n_nationkey
+    LEFT JOIN (SELECT c_nationkey, '[' || string_agg('{"c_custkey":' || c_custkey || '}', ',' ORDER BY c_custkey) || ']' AS m FROM customer WHERE c_custkey % 10 = 0 GROUP BY 1) ON c_nationkey = n_nationkey"""
+)
+def src10_two_lists(spark, sf_dir):
+    """Functions with their aliases and event sources: two lists beside each other, either may be empty."""
+    nations = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k"))
+    aliases = table(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").withColumnRenamed("s_nationkey", "k")
+    mappings = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").withColumnRenamed("c_nationkey", "k")
+    both = readers.nested(readers.nested(nations, aliases, "k", "aliases", ["s_suppkey", "s_name"]), mappings, "k", "mappings", ["c_custkey"])
+    return both.select("n_name", _listed("aliases", ["s_suppkey", "s_name"]).alias("aliases"), _listed("mappings", ["c_custkey"]).alias("mappings"))
+
+
+@query(
+    """WITH n AS (SELECT n_regionkey, n_name, '{"n_name":"' || n_name || '","suppliers":' || coalesce('[' || string_agg('{"s_suppkey":' || s_suppkey || '}', ',' ORDER BY s_suppkey) || ']', '[]') || '}' AS j FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)
+    SELECT r_name, '[' || string_agg(j, ',' ORDER BY n_name) || ']' AS nations FROM region JOIN n ON n_regionkey = r_regionkey GROUP BY 1"""
+)
+def src11_lists_in_lists(spark, sf_dir):
+    """An interface with its routes, and each of these with its integrations."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    nations = readers.nested(table(spark, sf_dir, "nation"), suppliers, "n_nationkey", "suppliers", ["s_suppkey"]).withColumn("suppliers", F.coalesce("suppliers", F.array().cast("array<struct<s_suppkey:bigint>>")))
+    regions = readers.nested(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "k"), nations.withColumnRenamed("n_regionkey", "k"), "k", "nations", ["n_name", "suppliers"])
+    return regions.select("r_name", F.to_json("nations").alias("nations"))
+
+
+@query("SELECT event_type AS topic, count(*) AS subscriptions, sha256(string_agg(event_id::VARCHAR, ',' ORDER BY event_id)) AS listed FROM events WHERE event_id % 20 = 0 GROUP BY 1")
+def src12_subscriptions(spark, sf_dir):
+    """Topics with their subscriptions in order."""
+    events = table(spark, sf_dir, "events").where("event_id % 20 = 0").select(F.col("event_type").alias("topic"), "event_id")
+    got = readers.nested(events.select("topic").distinct(), events, "topic", "subscriptions", ["event_id"])
+    return got.select("topic", F.size("subscriptions").cast("long").alias("subscriptions"), F.sha2(F.array_join(F.transform("subscriptions", lambda x: x["event_id"].cast("string")), ","), 256).alias("listed"))
+
+
+@query("SELECT c_custkey, array_to_string(list_transform(list_sort([{'k': 'segment', 'v': c_mktsegment}, {'k': 'nation', 'v': c_nationkey::VARCHAR}, {'k': 'Name', 'v': c_name}, {'k': 'segment', 'v': 'a'}]), lambda x: x.k || '=' || x.v), ',') AS tags FROM customer")
+def src14_sorted_tags(spark, sf_dir):
+    """Tags by key, then value; capitals first."""
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    tags = F.array(tag("segment", F.col("c_mktsegment")), tag("nation", F.col("c_nationkey").cast("string")), tag("Name", F.col("c_name")), tag("segment", F.lit("a")))
+    rows = structure.in_order(table(spark, sf_dir, "customer").select("c_custkey", tags.alias("tags")), {"tags": ["key", "value"]})
+    return rows.select("c_custkey", F.array_join(F.transform("tags", lambda t: F.concat(t["key"], F.lit("="), t["value"])), ",").alias("tags"))
