@@ -17,8 +17,8 @@ Decoding. Ids become bytes, and an incremental UTF-8 machine turns bytes into
 text, holding back at most an unfinished character; bytes that are no UTF-8
 become U+FFFD.
 
-Defined results: null text is encoded as empty (no ids); repeated rows give
-repeated rows; null doc_id stays null; an empty table gives no rows; other
+Defined results: null text is encoded as empty (no ids); very long texts are encoded
+whole, in blocks; repeated rows give repeated rows; null doc_id stays null; an empty table gives no rows; other
 columns are ignored.
 """
 

@@ -14,7 +14,8 @@ edit. ``likeness`` is the share of leaves that two trees have in common
 (2 |A and B| / (|A| + |B|) over distinct leaves; 1 for equal roots).
 
 Defined results: a null text counts as empty, and two empty texts are alike (1),
-an empty and another are not (0); repeated rows give repeated rows; a null key
+an empty and another are not (0); very long texts are fingerprinted whole; repeated
+rows give repeated rows; rows with one key follow each other by text; a null key
 sorts last; an empty table gives no rows; other columns are ignored.
 """
 

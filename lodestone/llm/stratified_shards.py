@@ -14,8 +14,9 @@ Law: ``rows``; shard sizes differ by one row at most. Equal texts are not kept
 together, since that law leaves no room for it.
 
 Defined results: a null source is a source of its own; a null text counts 16
-bytes and checksum 0; repeated rows each get a slot; an empty table gives no
-rows; other columns are ignored.
+bytes and checksum 0; very long texts count by their size and checksum only; rows
+that draw alike are ordered by id, checksum and size, equal fractional ranks by source;
+repeated rows each get a slot; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ The tokenizer drops white space and never joins across it, so words may be
 looked at one at a time. Special strings inside a text are one token each, as
 the library does by default.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows
-give repeated rows; null doc_id stays null; an empty table gives no rows; other
+Defined results: null text counts as empty (0 bytes, 0 tokens); very long texts are
+counted whole, in one chunk; repeated rows give repeated rows; null doc_id stays null; an empty table gives no rows; other
 columns are ignored.
 """
 

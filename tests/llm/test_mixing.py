@@ -105,3 +105,11 @@ def test_edges(spark):
     assert {r["rate"] for r in none} == {1.0} and {r["copies"] for r in none} == {1}
     assert dm.mix(docs.limit(0), labels, {}).count() == 0
     assert dm.label_domains(spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 0), (4, None, None), (5, 0, 1)], "doc_id long, quality int, toxic int")).select(F.collect_list("domain")).first()[0] == ["toxic", "poor", "good", "toxic"]
+
+
+def test_a_very_long_text_counts_whole(spark):
+    docs, labels = corpus(spark)
+    long = docs.where("doc_id = 10").selectExpr("100000 AS doc_id", "repeat(concat(text, ' '), 2000) AS text")
+    got = dm.mix(docs.select("doc_id", "text").unionByName(long.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), labels, {}, relative=True).where("doc_id IN (10, 100000)").collect()
+    told = {r["doc_id"]: r for r in got}
+    assert told[100000]["n_tokens"] == 2000 * told[10]["n_tokens"] and told[100000]["domain"] == told[10]["domain"]

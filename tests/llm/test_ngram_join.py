@@ -121,3 +121,16 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {90: 90, 100: 90, 101: 90}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(21)
+    words = [str(r.randrange(10**6)) for _ in range(50_000)]
+    near, far = list(words), list(words)
+    for k in range(0, len(words), 120):
+        near[k] = "other"
+    for k in range(0, len(words), 9):
+        far[k] = "other"
+    docs = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(far)), (4, " ".join(words).upper())]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in nj.similarity_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[3][1] == 2 and got[1][1] == 1

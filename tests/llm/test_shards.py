@@ -1,6 +1,9 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import queries
 from lodestone.llm import stratified_shards as ss
 
@@ -54,3 +57,33 @@ def test_edges(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.op6_stratified_interleave(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def brute(rows, shards, seed, buckets):
+    """Every row's shard and slot, straight from the definition: (key, source, text, draw) in."""
+    lanes = {}
+    for key, source, text, draw in rows:
+        raw = (text or "").encode()
+        crc = zlib.crc32(raw) if text is not None else 0
+        lanes.setdefault("" if source is None else f"={source}", []).append((draw % buckets, draw, key is not None, key or 0, crc, len(raw) + 16))
+    placed = []
+    for lane, own in lanes.items():
+        n = len(own)
+        for r, (*_, there, key, crc, size) in enumerate(sorted(own), 1):
+            placed.append((((2 * r - 1) * buckets) // (2 * n), r * 2.0 / n - 1.0 / n, lane, r, key if there else None, crc, size))
+    total, out = len(placed), []
+    for at, (*_, key, crc, size) in enumerate(sorted(placed)):
+        shard = at * shards // total
+        out.append((key, size, crc, shard, at - (shard * total + shards - 1) // shards))
+    return sorted(out, key=str)
+
+
+def test_against_brute_force(spark):
+    r = random.Random(12)
+    rows = [(k if k % 50 else None, r.choice(["a", "a", "a", "b", "c", None]), "word " * (k % 13) if k % 17 else None) for k in range(900)] + [(5000 + k, "hot", "the same text") for k in range(400)]
+    rows += [(7, "a", "twice")] * 3 + [(9999, "b", "x" * 200_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    drawn = frame.select("doc_id", "source", "text", F.xxhash64(F.lit(17), "doc_id")).collect()
+    for shards, buckets in ((40, 4096), (7, 16)):
+        got = ss.interleave(frame, shards=shards, buckets=buckets).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+        assert sorted(map(tuple, got), key=str) == brute(drawn, shards, 17, buckets)

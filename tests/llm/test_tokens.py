@@ -99,3 +99,12 @@ def test_streams_equal_whole_pre_tokens(tokenizer_path):
 def test_the_registered_queries(spark, sf):
     assert queries.op9_token_counts(spark, sf).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert queries.op10_bpe_codec(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_counts_of_a_very_long_text(spark, tokenizer_path):
+    path, r = str(tokenizer_path("word_bpe_49k.json")), random.Random(9)
+    long = " ".join("".join(r.choice("abcdeé'9") for _ in range(r.randint(1, 12))) for _ in range(150_000))
+    frame = spark.createDataFrame([(1, long), (2, "x" * 300_000)], "doc_id long, text string")
+    got = {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(frame, path).collect()}
+    t = library(path)
+    assert got == {1: len(t.encode(long, add_special_tokens=False).ids), 2: len(t.encode("x" * 300_000, add_special_tokens=False).ids)}

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 import zlib
 
 import pytest
@@ -71,3 +72,12 @@ def test_a_damaged_archive_is_told():
     assert len(list(wa.records(io.BytesIO(packed)))) == 2
     with pytest.raises(ValueError, match="ends within"):
         list(wa.records(io.BytesIO(gzip.compress(raw + raw[:-10]))))
+
+
+def test_a_payload_of_several_reads(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefé<> \n") for _ in range(2_500_000))
+    pages = [(1, "u", long), (2, "v", long), (3, "w", long[:-1]), (4, "x", "tail")]
+    assert len(long.encode()) > 2 * wa.READ
+    got = [tuple(r)[:5] for r in wa.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == expected([(a, c) for a, _, c in pages])
