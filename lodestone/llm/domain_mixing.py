@@ -25,7 +25,8 @@
    one more, by systematic rounding: documents of like posteriors and numbers of
    tokens are put in order, and the one at which the running sum of fractions
    passes a whole number (from a hashed start) gets one more. So realised totals
-   of a domain stay near the expected ones.
+   of a domain stay near the expected ones; of several hashed starts the one that
+   brings them closest can be taken.
 
 Defined results: null or empty text has no tokens, the prior as posterior and
 rate 1 at the start like any other (its rate does not matter to the sums); equal
@@ -45,7 +46,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import row_name, written
@@ -215,26 +216,48 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS, close: f
 SLICE_ROWS = 20_000
 
 
-def systematic_copies(rated: DataFrame, total: int, seed: int = 29) -> DataFrame:
-    """``rated`` with copies: each rate's whole part or one more, so that sums over like documents stay."""
+#: Roundings that are tried for the totals closest to the targets.
+TRIES = 32
+
+
+def systematic_copies(rated: DataFrame, total: int, seed: int = 29, wanted: np.ndarray | None = None, tries: int = 1) -> DataFrame:
+    """``rated`` with copies: each rate's whole part or one more, so that sums over like documents stay.
+
+    Where a stretch of like documents starts to round is drawn. Of ``tries`` such draws,
+    all of whose totals are summed in one pass, the one is taken whose domains' parts
+    of the tokens come closest to those ``wanted``.
+    """
     like = F.struct(F.transform("posterior", lambda p: F.round(p * 4).cast("int")), F.floor(2 * F.log2(F.col("n_tokens") + 1)).cast("int"))
     slices = 1 + total // SLICE_ROWS
     rows = rated.withColumn("_draw", F.xxhash64(F.lit(seed), "row")).withColumn("_like", F.xxhash64(like)).withColumn("_slice", F.pmod("_draw", F.lit(slices)))
     order = Window.partitionBy("_like", "_slice").orderBy("n_tokens", "_draw", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.pmod(F.xxhash64(F.lit(seed), "_like", "_slice"), F.lit(1 << 30)) / float(1 << 30)
     # In billionths, so that sums are exact.
     part = F.round((F.col("rate") - F.floor("rate")) * 1e9).cast("long")
-    upto = F.sum(part).over(order) + F.floor(start * 1e9)
-    more = F.floor(upto / 1e9) - F.floor((upto - part) / 1e9)
-    return rows.withColumn("copies", (F.floor("rate") + more).cast("long")).drop("_draw", "_like", "_slice")
+    rows = rows.withColumn("_part", part).withColumn("_upto", F.sum(part).over(order))
+
+    def copies(draw: int) -> Column:
+        start = F.floor(F.pmod(F.xxhash64(F.lit(draw), "_like", "_slice"), F.lit(1 << 30)) / float(1 << 30) * 1e9)
+        more = F.floor((F.col("_upto") + start) / 1e9) - F.floor((F.col("_upto") + start - F.col("_part")) / 1e9)
+        return (F.floor("rate") + more).cast("long")
+
+    best = seed
+    if wanted is not None and tries > 1:
+        rows = written(rows, "roundings")
+        draws = range(seed, seed + tries)
+        sums = rows.agg(*[F.sum(copies(d) * F.col("n_tokens") * F.col("posterior")[i]).alias(f"x{d}_{i}") for d in draws for i in range(len(wanted))]).first()
+        told = np.array([x or 0.0 for x in sums]).reshape(tries, len(wanted))
+        shares = told / np.maximum(told.sum(axis=1, keepdims=True), 1e-12)
+        best = seed + int(np.abs(shares - wanted / max(wanted.sum(), 1e-12)).max(axis=1).argmin())
+    return rows.withColumn("copies", copies(best)).drop("_draw", "_like", "_slice", "_part", "_upto")
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], scale: float = 1.0, relative: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], scale: float = 1.0, relative: bool = False, key: str = "doc_id", text: str = "text", tries: int = 1) -> DataFrame:
     """One row a document: doc_id, row, n_tokens, domain, posterior, rate, copies, residual.
 
     ``shares`` are the domains' parts of the tokens wanted, ``scale`` times the
     tokens there are; with ``relative`` they multiply what each domain has. A
-    domain without a share keeps what it has (relative) or gets none.
+    domain without a share keeps what it has (relative) or gets none. ``tries`` is of
+    ``systematic_copies``.
     """
     model = fit(docs, labels, key, text)
     members = written(memberships(docs, model, key, text), "memberships")
@@ -246,7 +269,7 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], scale: flo
         goal = have * wanted * scale if relative else have.sum() * scale * wanted / max(sum(shares.values()), 1e-12)
         steps, residual = solve(members, goal.tolist())
     else:
-        steps, residual = [], 0.0
+        steps, residual, goal = [], 0.0, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +278,7 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], scale: flo
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(rate)], [*batch.schema.names, "domain", "rate"])
 
     rated = members.mapInArrow(run, "doc_id long, row binary, n_tokens long, posterior array<double>, domain string, rate double")
-    return systematic_copies(rated, members.count()).withColumn("residual", F.lit(residual))
+    return systematic_copies(rated, members.count(), wanted=goal, tries=tries).withColumn("residual", F.lit(residual))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

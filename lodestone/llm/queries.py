@@ -33,7 +33,7 @@ SHARES = {"good": 0.88, "poor": 0.10, "toxic": 0.02}
 
 def op3_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = domain_mixing.label_domains(table(spark, sf_dir, "labels"))
-    mixed = domain_mixing.mix(table(spark, sf_dir, "documents"), labels, SHARES)
+    mixed = domain_mixing.mix(table(spark, sf_dir, "documents"), labels, SHARES, tries=domain_mixing.TRIES)
     places = F.array_sort(F.array(*[F.lit(d) for d in SHARES]))
     posterior = [F.coalesce(F.element_at("posterior", F.array_position(places, d).cast("int")), F.lit(0.0)).alias(f"p_{d}") for d in SHARES]
     return mixed.select("doc_id", "n_tokens", "domain", *posterior, "rate", "copies", "residual")

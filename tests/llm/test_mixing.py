@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import domain_mixing as dm
+from lodestone.llm import queries
 
 
 def corpus(spark, n=400):
@@ -113,3 +114,11 @@ def test_a_very_long_text_counts_whole(spark):
     got = dm.mix(docs.select("doc_id", "text").unionByName(long.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), labels, {}, relative=True).where("doc_id IN (10, 100000)").collect()
     told = {r["doc_id"]: r for r in got}
     assert told[100000]["n_tokens"] == 2000 * told[10]["n_tokens"] and told[100000]["domain"] == told[10]["domain"]
+
+
+def test_whole_copies_meet_the_targets(spark, sf):
+    got = queries.op3_domain_mixing(spark, sf.replace("sf0.001", "sf0.1"))
+    total = F.sum(F.col("copies") * F.col("n_tokens"))
+    told = got.agg(*[(F.sum(F.col("copies") * F.col("n_tokens") * F.col(f"p_{d}")) / total).alias(d) for d in queries.SHARES]).first()
+    assert all(abs(told[d] - share) < 0.001 for d, share in queries.SHARES.items()), told
+    assert got.where("copies < floor(rate) OR copies > ceil(rate)").count() == 0
