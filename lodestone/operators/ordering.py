@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 
+def _placed(rows: DataFrame, by: list[str], slices: int | None) -> DataFrame:
+    """Rows in ranges of ``by``, written once, with their range and their place in all (growing, with gaps)."""
+    dealt = rows.repartitionByRange(slices, *by) if slices else rows.repartitionByRange(*by)
+    return written(dealt.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_range", F.shiftright("_at", 33))
+
+
+def with_before(rows: DataFrame, order: list[str], within: list[str], value: str, name: str, slices: int | None = None) -> DataFrame:
+    """Add the ``value`` of the row before, of those equal in ``within``; null for the first.
+
+    As ``numbered``: neighbours are found inside ranges, and a range's first row of a group
+    takes the last value of the group's range before, from a row a group and range.
+    """
+    keys = [*within, "_range"]
+    placed = _placed(rows, [*within, *order], slices)
+    ends = placed.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), "_at").alias("_last"), F.min("_at").alias("_first"))
+    prior = F.lag("_last").over(Window.partitionBy(*within).orderBy("_range"))
+    linked = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_first", prior.alias("_prior"))
+    out = placed.withColumn("_lag", F.lag(value).over(Window.partitionBy(*keys).orderBy("_at")))
+    out = out.join(linked, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    out = out.withColumn(name, F.when(F.col("_at") == F.col("_first"), F.col("_prior.v")).otherwise(F.col("_lag")))
+    return out.drop("_range", "_at", "_lag", "_first", "_prior", *[f"_k{i}" for i in range(len(keys))])
+
+
 def numbered(rows: DataFrame, order: list[str], within: list[str] | None = None, name: str = "rn", total: str | None = None, running: str = "running", slices: int | None = None) -> DataFrame:
     """Add the row's number (from 1) in the order, and the running sum of ``total``.
 
@@ -19,9 +42,7 @@ def numbered(rows: DataFrame, order: list[str], within: list[str] | None = None,
     """
     within = within or []
     keys = [*within, "_range"]
-    by = [*within, *order]
-    dealt = rows.repartitionByRange(slices, *by) if slices else rows.repartitionByRange(*by)
-    placed = written(dealt.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    placed = _placed(rows, [*within, *order], slices)
     sums = [F.count("*").alias("_n"), F.min("_at").alias("_first")] + ([F.sum(total).alias("_t")] if total else [])
     counts = placed.groupBy(*keys).agg(*sums)
     # A row a range, or a group and range it reaches into.

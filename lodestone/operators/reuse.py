@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import with_before
+
 # The closed set of reasons.
 REASONS = ("reused", "no_candidate", "capture_definition_changed", "source_content_changed", "source_unit_missing", "artifact_missing", "artifact_corrupt", "format_changed", "freshness_unproven")
 PROVEN = "inventory"
@@ -77,8 +79,8 @@ def invalid_units(units: DataFrame) -> DataFrame:
 
 
 def with_previous(generations: DataFrame, resource: str, order: list[str], generation: str, name: str = "previous") -> DataFrame:
-    """Each unit with the generation before its own, of its resource."""
-    return generations.withColumn(name, F.lag(generation).over(Window.partitionBy(resource).orderBy(*order)))
+    """Each unit with the generation before its own, of its resource; a resource of most rows is dealt over ranges."""
+    return with_before(generations, order, [resource], generation, name)
 
 
 def publish(units: DataFrame, path: str, generation: str) -> None:

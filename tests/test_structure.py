@@ -98,3 +98,15 @@ def test_numbers_and_sums(spark, within):
             want.add((*row, n + 1, total))
     assert len(got) == len(rows) and {(x["g"], x["a"], x["b"], x["v"], x["rn"], x["running"]) for x in got} == want
     assert ordering.numbered(frame.limit(0), ["a"]).count() == 0
+
+
+def test_the_row_before_of_a_hot_group(spark):
+    r = random.Random(5)
+    rows = [("hot" if k % 3 else r.choice(["a", "b", None]), k, r.choice([None, k])) for k in range(1500)]
+    frame = spark.createDataFrame(rows, "g string, a long, v long").repartition(5)
+    got = {(x["g"], x["a"]): x["p"] for x in ordering.with_before(frame, ["a"], ["g"], "v", "p", slices=9).collect()}
+    last, want = {}, {}
+    for g, a, v in rows:
+        want[g, a] = last.get(g)
+        last[g] = v
+    assert got == want
