@@ -1,4 +1,4 @@
-"""The commands: scan, plan, pull, inspect, compare, verify, admit."""
+"""The commands: scan, plan, pull, inspect, compare, verify, admit, archive, unarchive."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from .adapters import Options, Registry, preflight
 from .operators import compare as cmp
 from .operators import graph, reuse, scratch, verify
 from .plans.policy import Admission, Profile
-from .sources import artifacts, ledger, readers, sinks
+from .sources import archives, artifacts, files, ledger, readers, sinks
 
 SCHEMA = 3
 
@@ -119,8 +119,26 @@ def pull(spark: SparkSession, registry: Registry, selected: dict[str, list[Optio
 def verify_bundle(spark: SparkSession, target: str) -> DataFrame:
     """(path, problem) of an installed bundle; no rows if it is whole."""
     index = spark.read.schema("path string, sha256 string, size long").json(f"{target}/checksums")
-    files = verify.checksums(spark, f"{target}/data").where(~F.col("path").rlike(r"(^|/)[._]"))
-    return verify.coverage(index, files)
+    found = verify.checksums(spark, f"{target}/data").where(~F.col("path").rlike(r"(^|/)[._]"))
+    return verify.coverage(index, found)
+
+
+def archive(spark: SparkSession, target: str, path: str) -> DataFrame:
+    """Put an installed bundle, which must be whole, into one archive; its descriptor."""
+    verify.require_none(verify_bundle(spark, target), "bundle_damaged")
+    index = spark.read.schema("path string, sha256 string, size long").json(f"{target}/checksums")
+    # The manifest and the index itself: a few small files.
+    own = [("manifest.json", *files.summed(f"{target}/manifest.json")), *((f"checksums/{n}", *files.summed(f"{target}/checksums/{n}")) for n in files.listed(f"{target}/checksums"))]
+    rest = spark.createDataFrame(own, "path string, sha256 string, size long")
+    return archives.write_archive(index.withColumn("path", F.concat(F.lit("data/"), "path")).unionAll(rest), target, path)
+
+
+def unarchive(spark: SparkSession, path: str, staged: str, target: str) -> None:
+    """Install a bundle from its archive; one that is not whole is refused."""
+    archives.read_archive(spark, path, None, staged)
+    verify.require_none(verify_bundle(spark, staged), "bundle_damaged")
+    readers.manifest(spark, f"{staged}/manifest.json")
+    sinks.install(spark, staged, target)
 
 
 def _listed(spark: SparkSession, manifest: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
@@ -140,8 +158,8 @@ def inspect(spark: SparkSession, target: str) -> DataFrame:
     rows = found.select("policy", F.explode("resources").alias("r"))
     data = spark.read.schema("path string, sha256 string, size long").json(f"{target}/checksums")
     parts = F.split("path", "/")
-    files = data.select(F.element_at(parts, 1).alias("service"), F.element_at(parts, 2).alias("id"), F.element_at(parts, 3).alias("part"), "sha256")
-    datasets = files.groupBy("service", "id").agg(cmp.ordered_digest(F.substring("part", 1, 11), F.col("sha256")).alias("dataset_digest"))
+    of = data.select(F.element_at(parts, 1).alias("service"), F.element_at(parts, 2).alias("id"), F.element_at(parts, 3).alias("part"), "sha256")
+    datasets = of.groupBy("service", "id").agg(cmp.ordered_digest(F.substring("part", 1, 11), F.col("sha256")).alias("dataset_digest"))
     out = rows.select("r.service", "r.type", "r.id", F.sha2(F.array_join("r.shape", ","), 256).alias("structure_digest"), F.sha2("policy", 256).alias("governance_digest"), F.lit(True).alias("selected"), "r.records")
     operations = _listed(spark, found, "operations", {"service": "service", "id": "resource_id", "stage": "stage", "action": "action"})
     findings = _listed(spark, found, "findings", {"code": "code", "severity": "severity", "resource": "resource", "property": "property"})

@@ -40,6 +40,15 @@ def exists(path: str) -> bool:
     return system.get_file_info(at).type == fs.FileType.File
 
 
+def listed(folder: str) -> list[str]:
+    """The names of the files in one folder that are not hidden, in order."""
+    from pyarrow import fs
+
+    system, at = _at(folder)
+    found = system.get_file_info(fs.FileSelector(at))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
+
+
 def moved(path: str, to: str) -> None:
     """Rename a file; what an earlier attempt has moved already stays moved."""
     system, at = _at(path)

@@ -140,3 +140,15 @@ def test_a_pull_into_a_ledger_tells_why_it_captures_anew(spark, source, tmp_path
     assert reasons == [dict.fromkeys(("people", "visits"), w) for w in ("no_candidate", "freshness_unproven", "capture_definition_changed")]
     units, parts, why = ledger.load(spark, store, "000000000001")
     assert why is None and units.count() == 2 and ledger.verified(parts, store).where("problem IS NOT NULL").count() == 0
+
+
+def test_a_bundle_goes_through_an_archive(spark, source, tmp_path):
+    one = pulled(spark, source, tmp_path, "one")
+    told = api.archive(spark, one, f"file:{tmp_path}/one.tar.gz").first()
+    assert told["entries"] == 2 + 1 + len([n for n in os.listdir(f"{tmp_path}/one/checksums") if n.startswith("part")])
+    api.unarchive(spark, f"file:{tmp_path}/one.tar.gz", f"file:{tmp_path}/fresh", f"file:{tmp_path}/two")
+    assert {r["outcome"] for r in api.compare(spark, one, f"file:{tmp_path}/two").collect()} == {"unchanged"}
+    with open(f"{tmp_path}/one/data/tables/people/part-000001.ndjson.gz", "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError, match="bundle_damaged"):
+        api.archive(spark, one, f"file:{tmp_path}/again.tar.gz")
