@@ -46,7 +46,7 @@ def snk2_parts_read_back(spark, sf_dir):
     return both.select("source", "part", F.posexplode("all").alias("at", "x")).select("source", "part", (F.col("at") + 1).cast("long").alias("place"), "x.line")
 
 
-@query(f"WITH d AS (SELECT doc_id, {_LINE} AS line FROM documents), r AS (SELECT *, row_number() OVER w AS rn, sum(strlen(line) + 1) OVER w AS running FROM d WINDOW w AS (ORDER BY doc_id)), k AS (SELECT * FROM r WHERE rn <= 400 AND running <= 30000) SELECT count(*) AS records, max(running)::BIGINT AS size, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256, true AS truncated FROM k")
+@query(f"WITH d AS (SELECT doc_id, {_LINE} AS line FROM documents), r AS (SELECT *, row_number() OVER w AS rn, sum(strlen(line) + 1) OVER w AS running FROM d WINDOW w AS (ORDER BY doc_id)), k AS (SELECT * FROM r WHERE rn <= 400 AND running <= 30000) SELECT count(*) AS records, max(running)::BIGINT AS size, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256, (SELECT count(*) FROM d) > count(*) AS truncated FROM k")
 def snk1_bounded_file(spark, sf_dir):
     """One file of the leading lines within a count and a sum of bytes; it says that lines were left out."""
     made = artifacts.write_bounded(_lines(spark, sf_dir).select("doc_id", "line"), folder(spark, "bounded"), ["doc_id"], "line", 400, 30_000)
@@ -163,9 +163,9 @@ def str2_resumed_packs(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT source AS resource, doc_id, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), p AS (SELECT resource, (rn - 1) // 9 + 1 AS pack, count(*) AS n, sum(size) AS bytes FROM d GROUP BY ALL)
-    SELECT 'batch_gap' AS problem, 1::BIGINT AS n UNION ALL SELECT 'batch_records', 1 UNION ALL SELECT 'repeated_key', count(*) FROM d WHERE doc_id % 97 = 0 UNION ALL SELECT 'negative_size', count(*) FILTER (doc_id % 89 = 0) + count(*) FILTER (doc_id % 89 = 0 AND doc_id % 97 = 0) FROM d
+    SELECT problem, n FROM (SELECT 'batch_gap' AS problem, 1::BIGINT AS n UNION ALL SELECT 'batch_records', 1 UNION ALL SELECT 'repeated_key', count(*) FROM d WHERE doc_id % 97 = 0 UNION ALL SELECT 'negative_size', count(*) FILTER (doc_id % 89 = 0) + count(*) FILTER (doc_id % 89 = 0 AND doc_id % 97 = 0) FROM d
     UNION ALL SELECT 'plan_differs', count(*) FILTER (doc_id % 97 = 0 AND doc_id % 89 <> 0) + 2 * count(*) FILTER (doc_id % 89 = 0) FROM d UNION ALL SELECT 'pack_over', count(*) FROM p WHERE n > 1 AND bytes > 20000
-    UNION ALL SELECT 'done_twice', count(*) FROM p WHERE pack = 2 UNION ALL SELECT 'done_unknown', count(DISTINCT resource) FROM d UNION ALL SELECT 'done_differs', count(*) FROM p WHERE pack = 3"""
+    UNION ALL SELECT 'done_twice', count(*) FROM p WHERE pack = 2 UNION ALL SELECT 'done_unknown', count(DISTINCT resource) FROM d UNION ALL SELECT 'done_differs', count(*) FROM p WHERE pack = 3) WHERE n > 0"""
 )
 def str4_state_problems(spark, sf_dir):
     """A resume state with faults of each kind: how often each is found."""
