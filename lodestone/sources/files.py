@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from typing import BinaryIO
+from urllib.parse import quote
 
 READ = 1 << 20
 
@@ -19,7 +20,8 @@ def safe_path(path: str) -> str:
 def _at(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    # Spark gives paths as they are; a URI has its odd characters encoded.
+    return fs.FileSystem.from_uri(quote(re.sub(r"^file:/(?!/)", "file:///", path), safe="/:@"))
 
 
 def opened(path: str) -> BinaryIO:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bounds import with_prefix
+from . import files
 
 
 def inventory(objects: DataFrame, key: Column, body: Column, etag: Column | None = None) -> DataFrame:
@@ -84,20 +87,16 @@ def packed_objects(spark: SparkSession, path: str) -> DataFrame:
     """(name, body, sha256) of the members of tar.gz packs, read as streams; one task a pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import io
-        import tarfile
-
         for batch in batches:
-            for content in batch.column(0):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r|gz") as tar:
+            for pack in batch.column(0).to_pylist():
+                with files.opened(pack) as f, tarfile.open(fileobj=f, mode="r|gz") as tar:
                     for member in tar:
                         if not member.isfile() or member.name.startswith("/") or ".." in member.name.split("/"):
                             raise ValueError(f"unsafe member {member.name}")
                         body = tar.extractfile(member).read()
                         yield pa.RecordBatch.from_pydict({"name": [member.name], "body": pa.array([body], pa.binary()), "sha256": [hashlib.sha256(body).hexdigest()]})
 
-    packs = spark.read.format("binaryFile").load(path).select("content")
+    packs = spark.read.format("binaryFile").load(path).select("path")
     return packs.mapInArrow(run, "name string, body binary, sha256 string")
 
 

@@ -173,3 +173,15 @@ def test_lost_damaged_and_further_blobs(spark, published, tmp_path):
             assert files.summed(f"{fresh}/{r['path']}") == (r["sha256"], r["size"])
         else:
             assert not os.path.exists(local(f"{fresh}/{r['path']}"))
+
+
+def test_checksums_of_odd_names(spark, tmp_path):
+    from lodestone.operators import verify
+
+    want = set()
+    for name in ("plain", "a b", "50%", "é+#?", "x/y z"):
+        with files.created(f"file://{tmp_path}/odd/{name}") as f:
+            f.write(name.encode())
+        want.add((name, hashlib.sha256(name.encode()).hexdigest(), len(name.encode())))
+    assert all(os.path.exists(f"{tmp_path}/odd/{n}") for n, _, _ in want)
+    assert {tuple(r) for r in verify.checksums(spark, f"file:{tmp_path}/odd").collect()} == want
