@@ -7,7 +7,9 @@ The state folder holds
   batch that is given again is written over with the same rows, and one that is noted
   in ``batches`` is not written at all;
 - ``plan``: which object goes into which pack, made once, when the inventory is whole;
-- ``done/round=<n>``: the descriptors of packs that are written and renamed.
+- ``done/round=<n>``: the descriptors of packs that are written and renamed. A round is
+  a stretch of the packs in their order, of at least ``PACKS_A_ROUND`` and as large as lets
+  a run end in ``ROUNDS``: a stop costs one round, and rounds do not grow in number.
 
 A run that stops anywhere is followed by one that first holds the state against what
 it must be (``problems``), then takes up what is left. Packs that were not noted as
@@ -20,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import numbered
 from ..operators.packing import PACK_BYTES, PACK_OBJECTS, pack
+from ..operators.scratch import written
 from ..sources import artifacts, files
 from .capture import _same_definition
 
 ENTRY = "resource string, key string, etag string, size long"
 PACKS_A_ROUND = 256
+ROUNDS = 8
 
 
 def entries(objects: DataFrame, resource: str, key: str, body: str) -> DataFrame:
@@ -149,8 +154,9 @@ def write_rest(spark: SparkSession, objects: DataFrame, root: str, state: str, w
     """Write the packs that are not done, in rounds; returns the descriptors of all.
 
     Bodies are those of ``objects`` whose etag is still the one entered; an object that is
-    gone or changed fails the run before its round is noted. ``most_rounds`` stops after
-    so many.
+    gone or changed fails the run before its round is noted. A round takes at least
+    ``packs_a_round`` packs, and more where a run would else have more than ``ROUNDS``.
+    ``most_rounds`` stops after so many.
     """
     _same_definition(spark, state, wanted)
     require_sound(spark, state, max_bytes, max_objects)
@@ -159,26 +165,28 @@ def write_rest(spark: SparkSession, objects: DataFrame, root: str, state: str, w
         planned = pack(entered, "resource", ["key"], "size", max_bytes, max_objects, carried=["etag"])
         planned.select("resource", "key", "etag", "size", "pack").write.mode("overwrite").parquet(f"{state}/plan")
         require_sound(spark, state, max_bytes, max_objects)
-    packs = plan(spark, state).groupBy("resource", "pack").agg(F.count("*").alias("records"))
-    described, rounds = described or [], 0
+    same_pack = F.col("resource").eqNullSafe(F.col("_r")) & (F.col("pack") == F.col("_p"))
+    packs = plan(spark, state).groupBy("resource", "pack").agg(F.count("*").alias("records"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    left = packs.join(done(spark, state).select(F.col("resource").alias("_r"), F.col("pack").alias("_p")), same_pack, "left_anti")
+    left = written(numbered(left, ["resource", "pack"]), "packs-left")
+    each = max(packs_a_round, -(-left.count() // ROUNDS))
+    # A row a round: its packs are a stretch of the order of resources and keys.
+    ends = lambda f, side: f(F.struct("resource", F.col(side).alias("key"))).alias(side)
+    rounds = left.groupBy(F.floor((F.col("rn") - 1) / each).alias("at")).agg(F.sum("records").alias("records"), ends(F.min, "lo"), ends(F.max, "hi")).orderBy("at").collect()
+    described = described or []
     now = objects.select(F.col(resource).cast("string").alias("_resource"), F.col(key).cast("string").alias("_key"), F.md5(F.col(body).cast("binary")).alias("_etag"), F.col(body).alias("_body"), F.struct(*described).alias("_told") if described else F.lit(None).alias("_told"))
-    while most_rounds is None or rounds < most_rounds:
-        had = done(spark, state)
-        left = packs.join(had.select(F.col("resource").alias("_r"), F.col("pack").alias("_p")), F.col("resource").eqNullSafe(F.col("_r")) & (F.col("pack") == F.col("_p")), "left_anti")
-        # A bounded number of packs by name, in order.
-        chosen = left.orderBy("resource", "pack").limit(packs_a_round).collect()
-        if not chosen:
-            break
-        these = spark.createDataFrame([(r["resource"], r["pack"]) for r in chosen], "_r string, _p long")
-        part = plan(spark, state).join(F.broadcast(these), F.col("resource").eqNullSafe(F.col("_r")) & (F.col("pack") == F.col("_p")), "left_semi")
-        found = part.join(now, F.col("resource").eqNullSafe(F.col("_resource")) & (F.col("key") == F.col("_key")) & F.col("etag").eqNullSafe(F.col("_etag")))
+    place = F.struct(F.col("_resource").alias("resource"), F.col("_key").alias("key"))
+    for r in rounds[:most_rounds]:
+        lo, hi = (F.struct(*[F.lit(r[side][c]).cast("string").alias(c) for c in ("resource", "key")]) for side in ("lo", "hi"))
+        these = left.where(F.floor((F.col("rn") - 1) / each) == r["at"]).select(F.col("resource").alias("_r"), F.col("pack").alias("_p"))
+        part = plan(spark, state).join(these, same_pack, "left_semi")
+        found = part.join(now.where((place >= lo) & (place <= hi)), F.col("resource").eqNullSafe(F.col("_resource")) & (F.col("key") == F.col("_key")) & F.col("etag").eqNullSafe(F.col("_etag")))
         named = found.select("resource", F.col("pack").alias("_number"), "_key", "_body", *[F.col("_told")[c].alias(c) for c in described])
         told = artifacts.write_packed(named, root, "resource", "_number", "_key", "_body", described)
-        if told.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"] != sum(r["records"] for r in chosen):
+        if told.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"] != r["records"]:
             raise ValueError("objects changed since they were entered; start a new state")
         number = 1 + _rounds(spark, state)
         told.select(*[f.split()[0] for f in _DONE.split(", ")]).write.mode("overwrite").parquet(f"{state}/done/round={number}")
-        rounds += 1
     return done(spark, state)
 
 

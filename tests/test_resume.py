@@ -49,6 +49,19 @@ def test_a_pack_that_was_not_noted_is_written_again(spark, tmp_path, objects):
     assert (told, files) == whole[1:]
 
 
+def test_rounds_do_not_grow_with_the_packs(spark, tmp_path, objects):
+    gaps = objects.withColumn("bucket", F.when(F.col("bucket") == "b", F.col("bucket")))
+    gaps.repartition(6).write.mode("overwrite").parquet(f"file://{tmp_path}/landing")
+    state, root = f"file://{tmp_path}/many-state", f"file://{tmp_path}/many"
+    resume.take_inventory(spark, f"file://{tmp_path}/landing", objects.schema, state, "w", "bucket", "key", "body")
+    write = lambda most: resume.write_rest(spark, gaps, root, state, "w", "bucket", "key", "body", None, 300, 1, packs_a_round=1, most_rounds=most)
+    # 60 packs of one object: rounds of 8, then the 44 that are left in rounds of 6.
+    assert write(2).count() == 16
+    told = write(None)
+    assert told.count() == 60 and resume._rounds(spark, state) == 2 + 8
+    assert told.groupBy("resource").count().count() == 2 and told.agg(F.sum("records")).first()[0] == 60
+
+
 def test_a_repeated_batch_writes_nothing(spark, tmp_path, objects):
     state, _, _ = run(spark, tmp_path, objects, "one", [None], [0])
     before = sorted(glob.glob(f"{tmp_path}/one-state/inventory/**/*.parquet", recursive=True))
