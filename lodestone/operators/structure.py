@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import once
+
 # Stand-ins for what must not be taken for structure inside strings. JSON text never holds these characters as they are.
 _HELD = {"\\\\": "\x01", '\\"': "\x02", "{": "\x03", "}": "\x04", "[": "\x05", "]": "\x06", ",": "\x07", ":": "\x0e"}
 _EMPTY = r'(?:null|""|\[\]|\{\}|-?0(?:\.0+)?(?:[eE][+-]?[0-9]+)?)'
@@ -42,7 +44,11 @@ def _inside(text: Column) -> Column:
 
 def depth(text: Column) -> Column:
     """How deep the objects of JSON text lie in each other."""
-    brackets = F.split(F.regexp_replace(_outside(text), r"[^{}]", ""), "")
+    return _depth(_outside(text))
+
+
+def _depth(outside: Column) -> Column:
+    brackets = F.split(F.regexp_replace(outside, r"[^{}]", ""), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(s: Column, c: Column) -> Column:
@@ -59,12 +65,11 @@ def pruned(text: Column) -> Column:
     the deepest up, and there are as many passes as levels. Elements of lists stay,
     cleaned inside; false stays; the whole stays, if only as {}.
     """
-    canonical = F.to_json(F.try_parse_json(text))
     first = '"[^"]*":' + _EMPTY + ","
     last = ',?"[^"]*":' + _EMPTY + r"(?=\})"
-    once = lambda t, _: F.regexp_replace(F.regexp_replace(t, first, ""), last, "")
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(depth(canonical), F.lit(1))), _outside(canonical), once)
-    return F.when(canonical.isNotNull(), _inside(done))
+    one = lambda t, _: F.regexp_replace(F.regexp_replace(t, first, ""), last, "")
+    cleaned = lambda outside: F.aggregate(F.sequence(F.lit(1), F.greatest(_depth(outside), F.lit(1))), outside, one)
+    return once(F.to_json(F.try_parse_json(text)), lambda canonical: F.when(canonical.isNotNull(), _inside(once(_outside(canonical), cleaned))))
 
 
 def _keyed(by: list[str]):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure
 from ..sources import readers
-from .registry import query, table
+from .registry import dealt, query, table
 
 
 @query(
@@ -20,7 +20,7 @@ def prj13_pruned(spark, sf_dir):
     item = '{"text":"{\\"a\\":null,\\"b\\":0}","name":"%s","zero":0,"none":null,"keep":false,"gone":[],"float":-0.0e3,"list":[0,null,{"x":%s},""],"deep":{"er":{"est":{"n":%s,"m":{"o":{}}}},"also":""}}'
     k = F.col("c_custkey") % 3
     made = F.format_string(item, F.when(k < 2, F.col("c_name")).otherwise(""), F.when(k == 1, "1").otherwise('""'), F.when(k == 1, (F.col("c_nationkey") + 1).cast("string")).otherwise("0"))
-    return table(spark, sf_dir, "customer").select("c_custkey", structure.pruned(made).alias("pruned"))
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", structure.pruned(made).alias("pruned"))
 
 
 @query(

@@ -110,3 +110,9 @@ def test_the_row_before_of_a_hot_group(spark):
         want[g, a] = last.get(g)
         last[g] = v
     assert got == want
+
+
+def test_pruning_reads_a_text_once(spark):
+    rows = spark.createDataFrame([('{"a":{"b":null},"c":1}',), ("no json",), (None,)], "t string").select(structure.pruned(F.col("t")).alias("p"))
+    assert str(structure.pruned(F.col("t"))).count("parse_json(") == 1
+    assert [r["p"] for r in rows.collect()] == ['{"c":1}', None, None]
