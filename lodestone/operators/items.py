@@ -12,10 +12,13 @@ through anything else, is a missing value.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import HASH_PREFIX, PSEUDONYM_PREFIX, all_of, base64_text, escaped_json, hmac_sha256
+from ..functions.columns import HASH_PREFIX, PSEUDONYM_PREFIX, all_of, base64_text, escaped_json, hmac_sha256, once
 from ..plans.policy import Cohort, Profile, Rule
 from .govern import rule_keys, with_keys
 from .scratch import written
@@ -39,22 +42,29 @@ def sorted_sets(text: Column) -> Column:
     of a piece split at quotes is inside a string, so the set ends at the first part
     outside that starts with its bracket.
     """
-    safe = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
     mark = '"(?:SS|NS|BS)":\\['
     plain = lambda e: F.replace(F.replace(e, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
     raw = lambda e: F.when(e.rlike("[\\\\\x01\x02]"), F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), plain(e), F.lit('"'))), "$", "string")).otherwise(e)
-    pieces = F.transform(F.slice(F.split(safe, mark, -1), 2, 1 << 30), lambda p: F.split(p, '"', -1))
     ends = lambda parts: F.array_position(F.transform(parts, lambda p, i: (i % 2 == 0) & F.startswith(p, F.lit("]"))), True).cast("int")
-    placed = F.transform(pieces, lambda parts: F.struct(parts.alias("parts"), ends(parts).alias("end")))
 
-    def rebuilt(x: Column) -> Column:
-        elements = F.filter(F.slice(x["parts"], 1, F.greatest(x["end"] - 1, F.lit(0))), lambda p, i: i % 2 == 1)
-        ordered = F.transform(F.array_sort(F.transform(elements, lambda e: F.struct(raw(e).alias("raw"), e.alias("e")))), lambda s: F.concat(F.lit('"'), s["e"], F.lit('"')))
-        return F.concat(F.array_join(ordered, ","), F.array_join(F.slice(x["parts"], x["end"], 1 << 30), '"'))
+    def rebuilt(piece: Column) -> Column:
+        return once(F.split(piece, '"', -1), lambda parts: once(ends(parts), lambda end: ordered(parts, end)))
+
+    def ordered(parts: Column, end: Column) -> Column:
+        elements = F.filter(F.slice(parts, 1, F.greatest(end - 1, F.lit(0))), lambda p, i: i % 2 == 1)
+        quoted = F.transform(F.array_sort(F.transform(elements, lambda e: F.struct(raw(e).alias("raw"), e.alias("e")))), lambda s: F.concat(F.lit('"'), s["e"], F.lit('"')))
+        return F.concat(F.array_join(quoted, ","), F.array_join(F.slice(parts, end, 1 << 30), '"'))
+
+    def joined(safe: Column) -> Column:
+        marks = F.regexp_extract_all(safe, F.lit(mark), F.lit(0))
+        behind = lambda pieces: F.transform(F.slice(pieces, 2, 1 << 30), rebuilt)
+        return plain(once(F.split(safe, mark, -1), lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(marks, behind(pieces), lambda m, s: F.concat(m, s)), ""))))
 
-    marks = F.regexp_extract_all(safe, F.lit(mark), F.lit(0))
-    joined = F.concat(F.get(F.split(safe, mark, -1), F.lit(0)), F.array_join(F.zip_with(marks, F.transform(placed, rebuilt), lambda m, s: F.concat(m, s)), ""))
-    return F.when(text.rlike(mark), plain(joined)).otherwise(text)
+    def in_order(t: Column) -> Column:
+        safe = F.replace(F.replace(t, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+        return F.when(t.rlike(mark), once(safe, joined)).otherwise(t)
+
+    return once(text, in_order)
 
 
 def canonical(item: Column) -> Column:
@@ -75,8 +85,7 @@ def at(item: Column, path: str) -> Column:
 
 def tag(value: Column) -> Column:
     """The tag of a tagged value; null unless it is one of the ten and stands alone."""
-    keys = F.json_object_keys(F.to_json(value))
-    return F.when((F.size(keys) == 1) & F.get(keys, F.lit(0)).isin(*TAGS), F.get(keys, F.lit(0)))
+    return once(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), lambda keys: F.when((F.size(keys) == 1) & F.get(keys, F.lit(0)).isin(*TAGS), F.get(keys, F.lit(0))))
 
 
 def matches(item: Column, path: str, expected: object) -> Column:
@@ -106,10 +115,14 @@ def with_keys_of(rows: DataFrame, item: str, cohort: Cohort) -> DataFrame:
     return out
 
 
-def _scalar(rule: Rule, value: Column) -> Column:
+def _refused(rule: Rule, why: str) -> Column:
+    return F.raise_error(F.lit(f"rule {rule.id}: {why}"))
+
+
+def _scalar(rule: Rule, value: Column, nested: Column) -> Column:
     """What a rule makes of a tagged value that is there, as VARIANT; what it may not touch fails the run."""
-    refuse = lambda why: F.raise_error(F.lit(f"rule {rule.id}: {why}")).cast("variant")
-    nested = tag(value).isin(*SETS, *NESTS) | tag(value).isNull()
+    if rule.action == "omit":
+        return F.when(nested, _refused(rule, "lists, sets and maps cannot be changed").cast("variant"))
     text, raw = F.try_variant_get(value, "$.S", "string"), F.unbase64(F.try_variant_get(value, "$.B", "string"))
 
     def changed(source: Column) -> Column:
@@ -121,29 +134,37 @@ def _scalar(rule: Rule, value: Column) -> Column:
 
     boxed = lambda name, v: F.to_variant_object(F.struct(v.alias(name)))
     return (
-        F.when(nested, refuse("lists, sets and maps cannot be changed"))
+        F.when(nested, _refused(rule, "lists, sets and maps cannot be changed").cast("variant"))
         .when(text.isNotNull(), boxed("S", changed(text.cast("binary"))))
         .when(raw.isNotNull(), boxed("B", base64_text(changed(raw).cast("binary"))))
-        .otherwise(refuse("the type of the value would change"))
+        .otherwise(_refused(rule, "the type of the value would change").cast("variant"))
     )
 
 
-def _omitted(rule: Rule, value: Column) -> Column:
-    """True; fails for lists, sets and maps, which no rule may touch."""
-    nested = tag(value).isin(*SETS, *NESTS) | tag(value).isNull()
-    return F.when(nested, F.raise_error(F.lit(f"rule {rule.id}: lists, sets and maps cannot be changed")).cast("boolean")).otherwise(F.lit(True))
-
+def _rebuilt(attributes: Column, paths: dict[str, list[str]]) -> Column:
+    """The attributes (VARIANT object) with the new values of paths put in, null ones left out; called where one is met.
 
-def _governed(attributes: Column, steps: list[str], rule: Rule) -> Column:
-    """The attributes (VARIANT object) with the rule applied below them; called where the value is there."""
-    name, rest = steps[0], steps[1:]
-    held = attributes.cast("map<string,variant>")
-    if rest:
-        inner = lambda v: F.to_variant_object(F.struct(_governed(F.try_variant_get(v, "$.M", "variant"), rest, rule).alias("M")))
-        return F.to_variant_object(F.transform_values(held, lambda k, v: F.when(k == name, inner(v)).otherwise(v)))
-    if rule.action == "omit":
-        return F.to_variant_object(F.map_filter(held, lambda k, v: F.when(k == name, ~_omitted(rule, v)).otherwise(F.lit(True))))
-    return F.to_variant_object(F.transform_values(held, lambda k, v: F.when(k == name, _scalar(rule, v)).otherwise(v)))
+    ``paths``: the steps that are left to go, by the number of the columns ``_met_`` and
+    ``_new_``. Each map on the way is opened once.
+    """
+    met = lambda below: reduce(or_, [F.col(f"_met_{n}") for n in below])
+    ends = {n: steps[0] for n, steps in paths.items() if len(steps) == 1}
+    inner: dict[str, dict] = {}
+    for n, steps in paths.items():
+        if steps[1:]:
+            inner.setdefault(steps[0], {})[n] = steps[1:]
+
+    def put(k: Column, v: Column) -> Column:
+        out = v
+        for name, below in inner.items():
+            opened = F.to_variant_object(F.struct(_rebuilt(F.try_variant_get(v, "$.M", "variant"), below).alias("M")))
+            out = F.when((k == name) & met(below), opened).otherwise(out)
+        for n, name in ends.items():
+            out = F.when((k == name) & F.col(f"_met_{n}"), F.col(f"_new_{n}")).otherwise(out)
+        return out
+
+    held = F.transform_values(attributes.cast("map<string,variant>"), put)
+    return F.to_variant_object(F.map_filter(held, lambda k, v: v.isNotNull()) if ends else held)
 
 
 def govern(rows: DataFrame, item: str, profile: Profile, resource: str, met: str = "rules_met") -> DataFrame:
@@ -151,15 +172,31 @@ def govern(rows: DataFrame, item: str, profile: Profile, resource: str, met: str
 
     ``met`` lists the rules whose value was there. A missing path meets nothing; a
     list, set or map at a path, or a number or flag whose type would change, fails
-    the run. Keys never appear in the plan.
+    the run. Keys never appear in the plan. Since no rule changes a map, a path means
+    the same value before and after the rules of other paths: the values are taken and
+    changed first, and an item is built again once.
     """
     rules = [r for r in profile.rules if r.resource == resource and r.kind == "attribute"]
     out = with_keys(rows, rule_keys(profile, rules))
-    for k, r in enumerate(rules):
-        out = out.withColumn(f"_m{k}", at(F.col(item), r.path).isNotNull())
-        out = out.withColumn(item, F.when(F.col(f"_m{k}"), _governed(F.col(item), r.path.split("."), r)).otherwise(F.col(item)))
-    hit = F.array_compact(F.array(*[F.when(F.col(f"_m{k}"), F.lit(r.id)) for k, r in enumerate(rules)])) if rules else F.array().cast("array<string>")
-    return out.withColumn(met, hit).drop(*[f"_m{k}" for k in range(len(rules))], *[c for c in out.columns if c.startswith(("_i_", "_o_"))])
+    kept, hit = out.columns, []
+    paths = {str(n): path for n, path in enumerate(dict.fromkeys(r.path for r in rules))}
+    out = out.withColumns({f"_new_{n}": at(F.col(item), path) for n, path in paths.items()})
+    out = out.withColumns({f"_met_{n}": F.col(f"_new_{n}").isNotNull() for n in paths})
+    # The k-th rule of each path, in one step.
+    while rules:
+        turn = {n: next((r for r in rules if r.path == path), None) for n, path in paths.items()}
+        now = {n: r for n, r in turn.items() if r}
+        rules = [r for r in rules if r not in now.values()]
+        value = {n: F.col(f"_new_{n}") for n in now}
+        out = out.withColumns({f"_nested_{n}": F.when(v.isNotNull(), once(tag(v), lambda t: t.isin(*SETS, *NESTS) | t.isNull())) for n, v in value.items()})
+        out = out.withColumns({f"_hit_{r.id}": F.when(value[n].isNotNull(), F.lit(r.id)) for n, r in now.items()} | {f"_new_{n}": F.when(value[n].isNotNull(), _scalar(r, value[n], F.col(f"_nested_{n}"))) for n, r in now.items()})
+        hit += [r.id for r in now.values()]
+    if paths:
+        whole = reduce(or_, [F.col(f"_met_{n}") for n in paths])
+        out = out.withColumn(item, F.when(whole, _rebuilt(F.col(item), {n: path.split(".") for n, path in paths.items()})).otherwise(F.col(item)))
+    order = [r.id for r in profile.rules if r.id in hit]
+    found = F.array_compact(F.array(*[F.col(f"_hit_{i}") for i in order])) if order else F.array().cast("array<string>")
+    return out.select(*[c for c in kept if not c.startswith(("_i_", "_o_"))], found.alias(met))
 
 
 def rules_met(governed: DataFrame, profile: Profile, resource: str, met: str = "rules_met") -> DataFrame:

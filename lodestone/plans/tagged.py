@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import cohort, items
 from .governance import SECRET, _hmac_sql, _prefixed_sql
 from .policy import Cohort, Profile, Rule
-from .registry import query, table
+from .registry import dealt, query, table
 
 #: An item with all ten tags, names and sets out of order; each %s is a column of ``_PARTS``.
 _ITEM = (
@@ -36,7 +36,7 @@ def _canonical_sql(contact: str = """{"M":{"active":{"BOOL":' || (c_acctbal > 0)
 
 def _customers(spark, sf_dir):
     """(c_custkey, item): customers as VARIANT items with all ten tags."""
-    rows = table(spark, sf_dir, "customer").withColumn("active", F.col("c_acctbal") > 0).withColumn("blob", C.base64_text(F.encode("c_name", "utf-8")))
+    rows = dealt(table(spark, sf_dir, "customer"), "c_custkey").withColumn("active", F.col("c_acctbal") > 0).withColumn("blob", C.base64_text(F.encode("c_name", "utf-8")))
     return rows.select("c_custkey", items.parsed(F.format_string(_ITEM, *[F.col(c).cast("string") for c in _PARTS])).alias("item"))
 
 

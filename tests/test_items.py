@@ -214,3 +214,30 @@ def test_columns_named_with_dots(spark):
 def test_base64_stays_in_one_line(spark):
     got = spark.range(1).select(F.to_json(C.typed("B", F.lit("x" * 300).cast("binary"))).alias("t")).first()["t"]
     assert json.loads(got) == {"B": b64("x" * 300)}
+
+
+def test_each_costly_step_stands_once_in_the_plan(spark):
+    rows = spark.createDataFrame([("{}",)], "t string").select(items.parsed(F.col("t")).alias("item"))
+    assert str(items.canonical(F.col("item"))).count("to_json(") == 1 == str(items.tag(F.col("item"))).count("item")
+
+    def steps(*paths):
+        done = items.govern(rows, "item", Profile("p", tuple(rule(f"r{k}", p, "hash") for k, p in enumerate(paths))), "t")
+        return done._jdf.queryExecution().analyzed().toString().count("Project ")
+
+    # An item is built again once for all rules.
+    assert steps("a.b") == steps("a.b", "a.c", "z")
+
+
+def test_rules_of_one_path_go_on_from_each_other(spark):
+    own = {"a": {"S": "x"}, "b": {"M": {"c": {"S": "y"}, "d": {"B": b64("raw")}}}, "e": {"M": {"f": {"NULL": True}}}}
+    profile = Profile("p", (rule("r1", "a", "replace", replacement="new"), rule("r2", "b.c", "omit"), rule("r3", "a", "hash"), rule("r4", "b.c", "hash"), rule("r5", "a.x", "omit"), rule("r6", "b.d", "hash"), rule("r7", "e.f", "omit")))
+    rows = spark.createDataFrame([(json.dumps(own),)], "t string").select(items.parsed(F.col("t")).alias("item"))
+    got = items.govern(rows, "item", profile, "t").select(items.canonical(F.col("item")).alias("t"), "rules_met").first()
+    want, met = governed(own, profile)
+    assert (got["t"], got["rules_met"]) == (text_of(want), met) and met == ["r1", "r2", "r3", "r6", "r7"]
+
+
+def test_a_file_of_one_task_is_dealt(spark):
+    from lodestone.plans import tagged
+
+    assert tagged._customers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
