@@ -172,31 +172,26 @@ def govern(rows: DataFrame, item: str, profile: Profile, resource: str, met: str
 
     ``met`` lists the rules whose value was there. A missing path meets nothing; a
     list, set or map at a path, or a number or flag whose type would change, fails
-    the run. Keys never appear in the plan. Since no rule changes a map, a path means
-    the same value before and after the rules of other paths: the values are taken and
-    changed first, and an item is built again once.
+    the run. Keys never appear in the plan. No rule changes a map, so a path means the same
+    value before and after the rules of other paths: values are taken and changed first,
+    and an item is built again once, or once more where a path has a second rule.
     """
     rules = [r for r in profile.rules if r.resource == resource and r.kind == "attribute"]
     out = with_keys(rows, rule_keys(profile, rules))
-    kept, hit = out.columns, []
-    paths = {str(n): path for n, path in enumerate(dict.fromkeys(r.path for r in rules))}
-    out = out.withColumns({f"_new_{n}": at(F.col(item), path) for n, path in paths.items()})
-    out = out.withColumns({f"_met_{n}": F.col(f"_new_{n}").isNotNull() for n in paths})
-    # The k-th rule of each path, in one step.
-    while rules:
-        turn = {n: next((r for r in rules if r.path == path), None) for n, path in paths.items()}
-        now = {n: r for n, r in turn.items() if r}
-        rules = [r for r in rules if r not in now.values()]
-        value = {n: F.col(f"_new_{n}") for n in now}
-        out = out.withColumns({f"_nested_{n}": F.when(v.isNotNull(), once(tag(v), lambda t: t.isin(*SETS, *NESTS) | t.isNull())) for n, v in value.items()})
-        out = out.withColumns({f"_hit_{r.id}": F.when(value[n].isNotNull(), F.lit(r.id)) for n, r in now.items()} | {f"_new_{n}": F.when(value[n].isNotNull(), _scalar(r, value[n], F.col(f"_nested_{n}"))) for n, r in now.items()})
-        hit += [r.id for r in now.values()]
-    if paths:
-        whole = reduce(or_, [F.col(f"_met_{n}") for n in paths])
-        out = out.withColumn(item, F.when(whole, _rebuilt(F.col(item), {n: path.split(".") for n, path in paths.items()})).otherwise(F.col(item)))
-    order = [r.id for r in profile.rules if r.id in hit]
-    found = F.array_compact(F.array(*[F.col(f"_hit_{i}") for i in order])) if order else F.array().cast("array<string>")
-    return out.select(*[c for c in kept if not c.startswith(("_i_", "_o_"))], found.alias(met))
+    kept, by_number = out.columns, {str(n): r for n, r in enumerate(rules)}
+    turns: list[dict[str, Rule]] = []
+    for n, r in by_number.items():
+        turn = next((t for t in turns if all(r.path != other.path for other in t.values())), None)
+        turns.append({n: r}) if turn is None else turn.update({n: r})
+    for turn in turns:
+        new = {n: F.col(f"_new_{n}") for n in turn}
+        out = out.withColumns({f"_new_{n}": at(F.col(item), r.path) for n, r in turn.items()})
+        out = out.withColumns({f"_met_{n}": v.isNotNull() for n, v in new.items()} | {f"_nested_{n}": F.when(v.isNotNull(), once(tag(v), lambda t: t.isin(*SETS, *NESTS) | t.isNull())) for n, v in new.items()})
+        out = out.withColumns({f"_new_{n}": F.when(F.col(f"_met_{n}"), _scalar(r, new[n], F.col(f"_nested_{n}"))) for n, r in turn.items()})
+        whole = reduce(or_, [F.col(f"_met_{n}") for n in turn])
+        out = out.withColumn(item, F.when(whole, _rebuilt(F.col(item), {n: r.path.split(".") for n, r in turn.items()})).otherwise(F.col(item)))
+    hit = F.array_compact(F.array(*[F.when(F.col(f"_met_{n}"), F.lit(r.id)) for n, r in by_number.items()])) if rules else F.array().cast("array<string>")
+    return out.select(*[F.col(f"`{c}`") for c in kept if not c.startswith(("_i_", "_o_"))], hit.alias(met))
 
 
 def rules_met(governed: DataFrame, profile: Profile, resource: str, met: str = "rules_met") -> DataFrame:

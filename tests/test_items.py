@@ -228,13 +228,13 @@ def test_each_costly_step_stands_once_in_the_plan(spark):
     assert steps("a.b") == steps("a.b", "a.c", "z")
 
 
-def test_rules_of_one_path_go_on_from_each_other(spark):
+def test_rules_that_meet_in_one_map(spark):
     own = {"a": {"S": "x"}, "b": {"M": {"c": {"S": "y"}, "d": {"B": b64("raw")}}}, "e": {"M": {"f": {"NULL": True}}}}
-    profile = Profile("p", (rule("r1", "a", "replace", replacement="new"), rule("r2", "b.c", "omit"), rule("r3", "a", "hash"), rule("r4", "b.c", "hash"), rule("r5", "a.x", "omit"), rule("r6", "b.d", "hash"), rule("r7", "e.f", "omit")))
+    profile = Profile("p", (rule("r1", "a", "replace", replacement="new"), rule("r2", "b.c", "omit"), rule("r5", "a.x", "omit"), rule("r6", "b.d", "hash"), rule("r7", "e.f", "omit"), Rule("r8", "others", "t", "attribute", "a", "hash"), Rule("r9", "others", "t", "attribute", "b.c", "hash")))
     rows = spark.createDataFrame([(json.dumps(own),)], "t string").select(items.parsed(F.col("t")).alias("item"))
     got = items.govern(rows, "item", profile, "t").select(items.canonical(F.col("item")).alias("t"), "rules_met").first()
     want, met = governed(own, profile)
-    assert (got["t"], got["rules_met"]) == (text_of(want), met) and met == ["r1", "r2", "r3", "r6", "r7"]
+    assert (got["t"], got["rules_met"]) == (text_of(want), met) and met == ["r1", "r2", "r6", "r7", "r8"]
 
 
 def test_a_file_of_one_task_is_dealt(spark):
