@@ -37,7 +37,7 @@ CHUNK_BYTES = 64 << 20
 PACK_BYTES = 256 << 20
 PACK_OBJECTS = 10_000
 SLICE_ROWS = 200_000
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 16 << 20
 
 
 class _Slice:

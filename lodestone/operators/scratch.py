@@ -29,6 +29,11 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks to deal work that costs much more than its rows' bytes tell."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: it outlives lost executors."""
     path = folder(df.sparkSession, name)

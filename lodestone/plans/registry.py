@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.scratch import tasks
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,6 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """Rows over all tasks of the session, for work that costs much more than moving them: a file of a million narrow rows is one task else."""
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, key)
+    return rows.repartition(tasks(rows.sparkSession), key)

@@ -30,11 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.columns import has_credentials, object_name, table_folder
 from ..operators.bounds import byte_limit
 from ..operators.packing import CHUNK_BYTES, PACK_BYTES, PACK_OBJECTS, pack
-from ..operators.scratch import written
+from ..operators.scratch import tasks, written
 from . import files
 
 # What files are called and what they are said to hold.
 NDJSON, GZIP = "application/x-ndjson", "application/gzip"
+TASK_BYTES = 32 << 20
 
 
 def _named(rows: DataFrame, resource: str) -> DataFrame:
@@ -218,7 +219,8 @@ def write_packed(objects: DataFrame, root: str, resource: str, number: str, key:
 def read_packs(packs: DataFrame, root: str, resource: str, with_body: bool = True) -> DataFrame:
     """The objects of packs, index and archive walked in step: resource, pack, key, size, sha256, told (the index line), body.
 
-    ``packs``: resource, pack, path, index_path. A member that is not the one the index
+    ``packs``: resource, pack, path, index_path, and source_bytes, if it is there: a task reads
+    many small packs then, and one is read a task else. A member that is not the one the index
     names next, that is no plain file, or whose size or digest is another, a missing and
     a further member fail the run with the key or the member's name. A pack is read as a
     stream; one member is held at a time.
@@ -262,8 +264,9 @@ def read_packs(packs: DataFrame, root: str, resource: str, with_body: bool = Tru
     schema = T.StructType([packs.schema[resource]]).add("pack", "long").add("key", "string").add("size", "long").add("sha256", "string").add("told", "string").add("body", "binary")
     kinds = [to_arrow_type(f.dataType) for f in schema]
     rows = packs.select(resource, "pack", "path", "index_path")
-    n = max(1, rows.count())
-    out = rows.repartitionByRange(min(n, 10_000), "path").mapInArrow(run, schema)
+    held = packs.agg(F.count("*").alias("n"), (F.coalesce(F.sum("source_bytes"), F.lit(0)) if "source_bytes" in packs.columns else F.lit(None).cast("long")).alias("bytes")).first()
+    most = 10_000 if held["bytes"] is None else max(tasks(packs.sparkSession), held["bytes"] // TASK_BYTES)
+    out = rows.repartitionByRange(max(1, min(held["n"], most, 10_000)), "path").mapInArrow(run, schema)
     return out if with_body else out.drop("body")
 
 

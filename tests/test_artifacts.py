@@ -185,3 +185,12 @@ def test_checksums_of_odd_names(spark, tmp_path):
         want.add((name, hashlib.sha256(name.encode()).hexdigest(), len(name.encode())))
     assert all(os.path.exists(f"{tmp_path}/odd/{n}") for n, _, _ in want)
     assert {tuple(r) for r in verify.checksums(spark, f"file:{tmp_path}/odd").collect()} == want
+
+
+def test_small_packs_share_tasks(spark, tmp_path):
+    rows = spark.range(40).selectExpr("'r' AS resource", "format_string('%03d', id) AS key", "'body' AS body")
+    made = artifacts.write_packs(rows, f"file://{tmp_path}/small", "resource", "key", "body", None, 1000, 1)
+    back = artifacts.read_packs(made, f"file://{tmp_path}/small", "resource")
+    assert made.count() == 40 == back.where("body = cast('body' AS binary)").count() and back.rdd.getNumPartitions() <= 8
+    told = ledger._each(made.select("path", "sha256", "size"), lambda path, sha256, size: None)
+    assert told.count() == 40 and told.rdd.getNumPartitions() == 4

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import packing
 
@@ -73,3 +74,12 @@ def test_carried_columns_and_empty_tables(spark):
     got = packing.pack(frame, "who", ["at"], "size", 10, carried=["text"])
     assert got.columns == ["who", "at", "size", "text", "pack"] and sorted(map(tuple, got.collect())) == [("a", 1, 5, "x", 1), ("a", 2, 6, None, 2)]
     assert packing.pack(frame.limit(0), "who", ["at"], "size", 10).count() == 0
+
+
+def test_slices_of_carried_columns_are_small(spark, monkeypatch):
+    seen = []
+    keep = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: seen.append((name, df.rdd.getNumPartitions())) or keep(df, name))
+    rows = spark.range(48).selectExpr("'r' AS resource", "id", "1 << 20 AS size", "'body' AS body")
+    assert packing.pack(rows, "resource", ["id"], "size", 4 << 20, carried=["body"]).agg(F.max("pack")).first()[0] == 12
+    assert dict(seen)["slices"] == 4
