@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare, reuse
-from ..operators.scratch import folder
+from ..operators.scratch import folder, written
 from ..sources import archives, artifacts, files, ledger
 from ..streaming import resume
 from ..streaming.capture import definition
@@ -57,7 +57,10 @@ def _objects(spark, sf_dir, changed: bool = False):
     docs = table(spark, sf_dir, "documents")
     body = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")) if changed else F.col("text")
     # Some texts hold access keys, which no pack may: without these capitals nothing looks like one.
-    safe = F.translate(body, "AKIS", "akis")
+    # One capital at a time, on bytes: several times as fast as ``translate``, which goes by characters.
+    safe = body
+    for capital in "AKIS":
+        safe = F.replace(safe, F.lit(capital), F.lit(capital.lower()))
     return docs.select("source", F.format_string("%012d", "doc_id").alias("key"), safe.alias("body"), "lang", "n_chars")
 
 
@@ -110,7 +113,8 @@ def joi2_ledger_decision(spark, sf_dir):
     root, store = folder(spark, "packs"), folder(spark, "ledger")
     before, now = _objects(spark, sf_dir), _objects(spark, sf_dir, True)
     made = artifacts.write_packs(before, root, "source", "key", "body", ["lang"], CAP, OBJECTS)
-    listed = artifacts.read_packs(made, root, "source", with_body=False)
+    # Written, as it is used twice and the packs are to be read once.
+    listed = written(artifacts.read_packs(made, root, "source", with_body=False).select("source", "pack", "key"), "listed")
     units = _freshness(before, listed).withColumn("kind", F.lit(reuse.PROVEN)).withColumn("outcome", F.lit("refreshed")).withColumn("reason", F.lit("no_candidate"))
     parts = _unit(artifacts.artifacts(made, "source").withColumnRenamed("unit", "pack")).select("source", "pack", "unit", "kind", "path", "sha256", "size")
     ledger.publish(units, parts.drop("source", "pack"), root, store, "documents", "first")

@@ -349,3 +349,13 @@ def test_coverage_against_pairs(spark):
     schema = "path string, sha256 string, size long"
     got = verify.coverage(spark.createDataFrame(index, schema), spark.createDataFrame(files, schema)).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_credentials_are_found_as_by_the_patterns_alone(spark):
+    value = "=abcdefghijklmnop"
+    names = ["aws_secret_access_key", "AWS_Session_Token", "X-Amz-Security-TOKEN", "accessKeyId", "SecretAccessKey", "sessionToken"]
+    texts = [f"é İ\n'{n}' : {value[1:]}" for n in names] + [n + value for n in names] + [n + "=short" for n in names] + ["access token" + value, "acces_key" + value, "ſessiontoken" + value, "sessionto\u212aen" + value]
+    texts += ["xAKIA" + "B7" * 8, "ASIA" + "B7" * 8, "ASIA" + "b7" * 8, "AKIA", "akia" + "B7" * 8, "", None]
+    plain = F.coalesce(F.col("text").rlike(C.CREDENTIALS[0]) | F.col("text").rlike(C.CREDENTIALS[1]), F.lit(False))
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(C.has_credentials(F.col("text")).alias("got"), plain.alias("want")).collect()
+    assert [r["got"] for r in found] == [r["want"] for r in found] == [True] * 12 + [False] * 10 + [True] * 2 + [False] * 5

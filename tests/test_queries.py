@@ -1,11 +1,13 @@
 """Queries of the catalogue against their SQL, at the smallest scale: those whose operators do more than a built-in function."""
 
 import os
+import uuid
 
 import pytest
 
 import __spark_entry__
-from lodestone.plans import catalogue
+from lodestone.operators import compare
+from lodestone.plans import bundles, catalogue
 
 SF = "/root/testdata/sf0.001"
 SOME = ["top1_cohort_customers", "prj9_metadata_rules", "win5_pack_count", "agg8_pack_freshness", "joi1_receipt", "joi2_reuse_decision", "joi8_coverage", "flt16_admission", "win6_running_total", "str1_resume"]
@@ -46,3 +48,34 @@ def test_every_query_has_sql():
 def test_the_entry_runs(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() == 20
+
+
+def noted(rows, folder):
+    """``rows``, each batch of which leaves a file with its number of rows whenever it is worked out."""
+
+    def run(batches):
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def times(folder):
+    return sum(int(p.read_text()) for p in folder.iterdir())
+
+
+def test_the_ledger_query_reads_its_packs_once(spark, duck, tmp_path, monkeypatch):
+    read = bundles.artifacts.read_packs
+    monkeypatch.setattr(bundles.artifacts, "read_packs", lambda *a, **b: noted(read(*a, **b), tmp_path))
+    bundles.joi2_ledger_decision(spark, SF).collect()
+    assert times(tmp_path) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
+def test_entries_of_packs_are_worked_out_once(spark, tmp_path):
+    rows = [(k % 3, f"k{k}", "e", k, "m") for k in range(90)]
+    entries = spark.createDataFrame(rows, "pack long, key string, etag string, size long, metadata_digest string").repartition(2)
+    found = compare.pack_freshness(noted(entries, tmp_path), ["pack"]).collect()
+    assert {r["pack"]: (r["records"], r["bytes"]) for r in found} == {p: (30, sum(range(p, 90, 3))) for p in range(3)}
+    assert times(tmp_path) == 90
